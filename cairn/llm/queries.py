@@ -1,6 +1,6 @@
 """The corpus operators' queries and their SQL twins, by name."""
 
-from cairn.llm import mixing
+from cairn.llm import mixing, simhash
 
-QUERIES = {"op10_mixing": mixing.op10_mixing}
+QUERIES = {"op9_simhash": simhash.op9_simhash, "op10_mixing": mixing.op10_mixing}
 ORACLES = {"op10_mixing": mixing.ORACLE}
