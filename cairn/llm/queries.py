@@ -1,6 +1,6 @@
 """The corpus operators' queries and their SQL twins, by name."""
 
-from cairn.llm import bpe, mixing, simhash
+from cairn.llm import bpe, mixing, quality, simhash
 
-QUERIES = {"op5_bpe": bpe.op5_bpe, "op9_simhash": simhash.op9_simhash, "op10_mixing": mixing.op10_mixing}
+QUERIES = {"op2_quality": quality.op2_quality, "op5_bpe": bpe.op5_bpe, "op9_simhash": simhash.op9_simhash, "op10_mixing": mixing.op10_mixing}
 ORACLES = {"op10_mixing": mixing.ORACLE}
