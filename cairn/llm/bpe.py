@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import read, slices
+from cairn.llm.common import read, slices, with_fields
 
 #: Fixed value: how byte-level vocabularies cut text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -219,7 +219,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``coded`` with ``decoded``, the text of the tokens; bytes that are not UTF-8 become U+FFFD; null ids: empty."""
     vocabulary = Vocabulary(coded.sparkSession, path)
-    fields = coded.schema.add("decoded", "string")
+    fields = with_fields(coded, decoded="string")
 
     def run(batches):
         model = vocabulary.model()

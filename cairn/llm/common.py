@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: a longest run of characters other than space and \\t..\\r. ``bytes.split()`` splits alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,3 +74,8 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
         held += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def with_fields(df: DataFrame, **kinds: str) -> T.StructType:
+    """The schema of ``df`` and more fields."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in kinds.items())])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import boosting
-from cairn.llm.common import read, slices
+from cairn.llm.common import read, slices, with_fields
 
 #: Fixed by the contract.
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\v\f\r"
@@ -123,7 +123,7 @@ def judge(docs: DataFrame, trees: boosting.Trees, id_col: str = "doc_id", text_c
             good = 1 / (1 + np.exp(-trees.margin(features(s))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(good)], names=[*batch.schema.names, "good"])
 
-    scored = stats.mapInArrow(run, stats.schema.add("good", "double"))
+    scored = stats.mapInArrow(run, with_fields(stats, good="double"))
     return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("good") >= keep))
 
 
