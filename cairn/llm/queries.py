@@ -1,6 +1,6 @@
 """The corpus operators' queries and their SQL twins, by name."""
 
-from cairn.llm import bpe, mixing, quality, secrets, simhash
+from cairn.llm import bpe, hosts, mixing, quality, secrets, simhash
 
-QUERIES = {"op7_secrets": secrets.op7_secrets, "op2_quality": quality.op2_quality, "op5_bpe": bpe.op5_bpe, "op9_simhash": simhash.op9_simhash, "op10_mixing": mixing.op10_mixing}
-ORACLES = {"op10_mixing": mixing.ORACLE}
+QUERIES = {"op3_url_filter": hosts.op3_url_filter, "op7_secrets": secrets.op7_secrets, "op2_quality": quality.op2_quality, "op5_bpe": bpe.op5_bpe, "op9_simhash": simhash.op9_simhash, "op10_mixing": mixing.op10_mixing}
+ORACLES = {"op3_url_filter": hosts.ORACLE, "op10_mixing": mixing.ORACLE}
