@@ -126,6 +126,17 @@ def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
 
 
+def mixed_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` as the mix trains on them: each row once for every copy taken, range-sorted by position.
+
+    A last copy of which only a part is taken is a row as well. Rows without id are not taken; rows that
+    repeat an id are taken as that id's copies say, each of them.
+    """
+    plan = curriculum_mix(sized(docs.filter(F.col(id_col).isNotNull())).select(id_col, "size", "source"))
+    plan = materialize(plan.select(id_col, "positions").filter(F.size("positions") > 0).dropDuplicates([id_col]))
+    return docs.join(plan, id_col).withColumn("_at", F.explode("positions")).orderBy("_at", id_col).select(*docs.columns)
+
+
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents in training order; ``position`` is the first copy's place (null: not taken)."""
     mixed = curriculum_mix(sized(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text"))

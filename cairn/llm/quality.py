@@ -127,6 +127,20 @@ def judge(docs: DataFrame, trees: boosting.Trees, id_col: str = "doc_id", text_c
     return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("good") >= keep))
 
 
+def keep_good(docs: DataFrame, trees: boosting.Trees, text_col: str = "text", keep: float = KEEP) -> DataFrame:
+    """The rows of ``docs`` that judge() would keep, in one pass and with all their columns."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text_col):
+                s = statistics(part.column(part.schema.get_field_index(text_col)).to_pylist())
+                good = 1 / (1 + np.exp(-trees.margin(features(s)))) >= keep
+                good &= (s["n_words"] >= MIN_WORDS) & (100 * s["n_repeat_words"] <= MAX_REPEAT_PERCENT * s["n_words"])
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     verdicts = judge(docs, fit(docs, read(spark, sf_dir, "labels")))

@@ -12,11 +12,17 @@ Fingerprints of 64 bits link at ``radius`` or fewer differing bits. The index ov
   places are skipped with all that is below them.
 
 Each task gives a spanning forest of the links it found, never all pairs.
+
+Half of the bits of two random texts differ; a Jaccard similarity s of shingles is a cosine of about
+2s/(1+s), which makes the part arccos(2s/(1+s))/pi of the bits differ. At s = 0.8 that is 0.15, which 64
+bits measure badly. ``keep_one`` therefore takes 128 bits: the index finds pairs on the first 64 with a
+wide radius, and all 128 decide.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import acos, floor, pi
 
 import numpy as np
 import pyarrow as pa
@@ -31,43 +37,59 @@ BITS, FAN = 64, 16
 PART = 2048
 #: Pairs compared at once.
 STEP = 1 << 20
+#: Fingerprints that share a masked pattern on average, at most, before more bits are masked.
+CROWD = {"narrow": 8, "wide": 4096}
+#: keep_one: words of a shingle, least similarity, differing bits that the index allows in the first half.
+WORDS, SIMILARITY, REACH = 5, 0.8, 11
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half the numbers."""
+    total = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), 4096):
+        part = hashes[i : i + 4096].astype("<u8")
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Other 64 bits of each number, by two rounds of multiplication and shift."""
+    for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(m)
+    return x ^ (x >> np.uint64(29))
 
-def fingerprint(text: str | None, words: int) -> int:
-    """Of A-Z lower-cased text: bit i is set if it is set in over half the shingles' XXH64 (seed 42)."""
+
+def fingerprint(text: str | None, words: int, wide: bool = False) -> tuple[int, int]:
+    """Of the shingles' XXH64 (seed 42) in A-Z lower-cased text, and of the mixed hashes (0 if not ``wide``)."""
     from xxhash import xxh64_intdigest as digest
 
     found = (text or "").encode("utf-8", "replace").lower().split()
     if not found:
-        return 0
+        return 0, 0
     joined, n = b" ".join(found), min(words, len(found))
     at = np.zeros(len(found) + 1, np.int64)
     np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1, out=at[1:])
     hashes = np.array([digest(joined[a:b], 42) for a, b in zip(at[: len(found) - n + 1].tolist(), (at[n:] - 1).tolist(), strict=True)], np.uint64)
-    total = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 4096):
-        part = hashes[i : i + 4096].astype("<u8")
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+    return _majority(hashes), _majority(_mixed(hashes)) if wide else 0
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(id, fp long): the fingerprint of each whole text, as a signed number. Null text: no words, so 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, wide: bool = False) -> DataFrame:
+    """(id, fp long, more long): the fingerprint of each whole text, as signed numbers. Null text: no words, so 0."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                fps = np.array([fingerprint(t, words) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], names=["id", "fp"])
+                fps = np.array([fingerprint(t, words, wide) for t in part.column(1).to_pylist()], np.uint64).view(np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps[:, 0]), pa.array(fps[:, 1])], names=["id", "fp", "more"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, more long")
 
 
-def masks(n: int, radius: int) -> list[int]:
-    """Masks for n fingerprints: so many blocks that a masked pattern is shared by a few on average."""
+def masks(n: int, radius: int, crowd: int) -> list[int]:
+    """Masks for n fingerprints: so many blocks that ``crowd`` at most share a masked pattern on average."""
     blocks = radius + 2
-    while blocks < radius + 4 and n >> (BITS * (blocks - radius) // blocks) > 8:
+    while blocks < radius + 4 and n >> (BITS * (blocks - radius) // blocks) > crowd:
         blocks += 1
     edges = [BITS * i // blocks for i in range(blocks + 1)]
     parts = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
@@ -78,13 +100,6 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def gray_rank(fp):
-    """Where the number stands in Gray order: the exclusive or of all its right shifts."""
-    for s in (1, 2, 4, 8, 16, 32):
-        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, s))
-    return fp
-
-
 class Nodes:
     """One level: where each node's children begin, how many they are, and the bits they all share."""
 
@@ -130,11 +145,14 @@ def descend(tree: list[Nodes], fp, radius: int, level: int, i, j):
         yield from descend(tree, fp, radius, level - 1, x[ordered], y[ordered])
 
 
-def forest(bucket: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(bucket: np.ndarray, fp: np.ndarray, more: np.ndarray, node: np.ndarray, radius: int, whole_radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges, as few as connect all rows linked within their bucket."""
     tree, label = levels(bucket, fp), np.arange(len(fp))
     whole = np.flatnonzero(np.diff(np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))) > 1)
     for i, j in descend(tree, fp, radius, 2, whole, whole):
+        if whole_radius != radius:
+            near = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(more[i] ^ more[j]) <= whole_radius
+            i, j = i[near], j[near]
         while True:
             a, b = label[i], label[j]
             apart = a != b
@@ -149,77 +167,100 @@ def forest(bucket: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) ->
     return node[order[:-1][same]], node[order[1:][same]]
 
 
-def links(fps: DataFrame, radius: int) -> DataFrame:
-    """``fps`` (fp long distinct, node long) -> edges (a, b) of nodes that connect all linked fingerprints."""
-    patterns = masks(fps.count(), radius)
-    rows = fps.select(
-        "fp", "node", gray_rank(F.col("fp")).alias("gray"),
-        F.explode(F.array(*(F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(patterns)))).alias("m"),
-    ).select("m.mask", "m.key", "fp", "node", "gray")
+def links(fps: DataFrame, radius: int, whole_radius: int | None = None) -> DataFrame:
+    """``fps`` (fp, more, node: longs) -> edges (a, b) of nodes that connect all linked fingerprints.
+
+    Linked are those that differ in ``radius`` bits of fp at most and, if ``whole_radius`` is given, in that
+    many of fp and more together.
+    """
+    wide = whole_radius is not None
+    patterns = masks(fps.count(), radius, CROWD["wide" if wide else "narrow"])
+    node = F.explode(F.array(*(F.struct(F.lit(k).cast("short").alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(patterns))))
+    own = ["fp", "more", "node"] if wide else ["fp", "node"]
+    rows = fps.select(*own, node.alias("m")).select("m.mask", "m.key", *own)
     large = materialize(rows.groupBy("mask", "key").count().filter(F.col("count") > PART))
+    keys = ["mask", "key"]
     if n := large.count():
         large = large.select("mask", "key", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-        rows = rows.join(F.broadcast(large) if n <= 20_000 else large, ["mask", "key"], "left")
-        mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+        rows = rows.join(F.broadcast(large) if n <= 20_000 else large, keys, "left")
+        mine = F.coalesce(F.pmod(F.xxhash64("fp", "node"), F.col("parts")).cast("int"), F.lit(0))
         other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))
-        rows = rows.withColumn("mine", F.coalesce(mine, F.lit(0))).withColumn("other", other)
+        rows = rows.withColumn("mine", mine).withColumn("other", other)
         rows = rows.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
-    else:
-        rows = rows.withColumns({"lo": F.lit(0), "hi": F.lit(0)})
-    keys = ["mask", "key", "lo", "hi"]
+        keys += ["lo", "hi"]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def work(table: pa.Table):
-            cols = [table.column(k).to_numpy() for k in keys]
+            fp = table.column("fp").to_numpy().view(np.uint64)
             new = np.zeros(len(table), bool)
-            for c in cols:
+            for k in keys:
+                c = table.column(k).to_numpy()
                 new[1:] |= c[1:] != c[:-1]
-            a, b = forest(np.cumsum(new), table.column("fp").to_numpy().view(np.uint64), table.column("node").to_numpy(), radius)
+            bucket = np.cumsum(new)
+            rank = fp.copy()
+            for s in (1, 2, 4, 8, 16, 32):
+                rank ^= rank >> np.uint64(s)
+            order = np.lexsort((rank, bucket))
+            more = table.column("more").to_numpy().view(np.uint64)[order] if wide else fp
+            a, b = forest(bucket[order], fp[order], more, table.column("node").to_numpy()[order], radius, whole_radius if wide else radius)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if held and sum(x.num_rows for x in held) >= 1 << 16:
-                # all but the last bucket is whole
+            if sum(x.num_rows for x in held) >= 1 << 16:  # all but the last node is whole
                 table = pa.Table.from_batches(held)
-                n = len(table)
-                end = [table.column(k)[n - 1].as_py() for k in keys]
-                same = np.ones(n, bool)
-                for k, v in zip(keys, end, strict=True):
-                    same &= table.column(k).to_numpy() == v
-                start = n - int(same.sum())
-                if start:
-                    yield work(table.slice(0, start).combine_chunks())
-                    held = table.slice(start).combine_chunks().to_batches()
+                same = np.ones(len(table), bool)
+                for k in keys:
+                    c = table.column(k).to_numpy()
+                    same &= c == c[-1]
+                if cut := len(table) - int(same.sum()):
+                    yield work(table.slice(0, cut).combine_chunks())
+                    held = table.slice(cut).combine_chunks().to_batches()
             held.append(batch)
         if held:
             yield work(pa.Table.from_batches(held).combine_chunks())
 
-    dealt = rows.select(*keys, "fp", "node", "gray").repartition(*keys).sortWithinPartitions(*keys, "gray").drop("gray")
-    return dealt.mapInArrow(run, "a long, b long")
+    return rows.select(*keys, *own).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, whole_radius: int | None = None) -> DataFrame:
     """(id, fingerprint string, component_id) for every row: component_id is the smallest id reachable over links.
 
     Texts without words (null, empty, white space) have fingerprint zero and link as any other; shorter
     texts than ``words`` are one shingle. Copies share a fingerprint and are linked through it, so hot
     groups of copies shrink to one row before any pair is looked at. Rows without an id get their group's
     component, null if no row of their fingerprint has an id. Repeated ids are rows of their own. Other
-    columns are not read; an empty table gives no rows.
+    columns are not read; an empty table gives no rows. ``whole_radius``: see links().
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, words))
-    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")))
-    groups = components(links(distinct.filter("node IS NOT NULL").select("fp", F.col("node").cast("long")), radius))
-    named = materialize(distinct.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "n"))
-    total = prints.count()
-    return hot_join(prints, named, "fp", "n", total).select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id").cast("long").alias("component_id")
+    prints = fingerprints(docs, id_col, text_col, words, whole_radius is not None)
+    prints = materialize(prints.withColumn("print", F.lower(F.concat(F.lpad(F.hex("fp"), 16, "0"), F.lpad(F.hex("more"), 16, "0")))))
+    distinct = materialize(prints.groupBy("print", "fp", "more").agg(F.min("id").cast("long").alias("node"), F.count(F.lit(1)).alias("n")))
+    groups = components(links(distinct.filter("node IS NOT NULL").select("fp", "more", "node"), radius, whole_radius))
+    named = materialize(distinct.join(groups, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"), "n"))
+    return hot_join(prints.select("id", "print"), named, "print", "n", prints.count()).select(
+        F.col("id").alias(id_col), F.substring("print", 1, 16).alias("fingerprint"), F.col("component_id").cast("long").alias("component_id")
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, reach: int = REACH) -> DataFrame:
+    """``docs`` without those that have a near-duplicate of smaller id: of each group, the smallest id stays.
+
+    Groups are the components over pairs whose estimated Jaccard similarity is ``similarity`` or more: two
+    fingerprints of 128 bits may differ in as many bits as that similarity makes differ on average, and in
+    ``reach`` of the first 64. Rows without id stay. Of rows that repeat an id one stays.
+    """
+    allowed = floor(2 * BITS * acos(2 * similarity / (1 + similarity)) / pi)
+    groups = materialize(near_duplicates(docs, id_col, text_col, words, reach, allowed))
+    gone = groups.filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    again = materialize(groups.groupBy(id_col).count().filter(f"count > 1 AND {id_col} IS NOT NULL").select(id_col))
+    if again.isEmpty():
+        return kept
+    return kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns))
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))

@@ -54,7 +54,7 @@ def test_links_of_planted_fingerprints(spark, monkeypatch, part):
     base = rng.getrandbits(64)
     x += [base ^ rng.getrandbits(9) for _ in range(200)]
     prints = {i: v for i, v in enumerate(dict.fromkeys(x))}
-    df = spark.createDataFrame([(simhash.signed(v), i) for i, v in prints.items()], "fp long, node long")
+    df = spark.createDataFrame([(simhash.signed(v), i) for i, v in prints.items()], "fp long, node long").selectExpr("fp", "0L AS more", "node")
     from cairn.llm.graph import components
 
     found = {r.node: r.component for r in components(simhash.links(df, 4)).collect()}
@@ -66,3 +66,32 @@ def test_nulls_empty_texts_repeats_and_clashing_columns(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == sorted([(5, 3), (3, 3), (9, 3), (1, 1), (2, 1), (2, 1), (None, 1), (None, None)], key=str)
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_keep_one_at_similarity(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, near, far = [], [], []
+    for k in range(40):
+        base = [word() for _ in range(400)]
+        rows.append((10 * k, " ".join(base)))
+        rows.append((10 * k + 1, " ".join(base)))
+        light, heavy = base[:], base[:]
+        for i in rng.sample(range(400), 3):
+            light[i] = word()
+        for i in rng.sample(range(400), 60):
+            heavy[i] = word()
+        rows += [(10 * k + 2, " ".join(light)), (10 * k + 3, " ".join(heavy))]
+        near.append(10 * k + 2)
+        far.append(10 * k + 3)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {10 * k for k in range(40)} <= kept and not {10 * k + 1 for k in range(40)} & kept
+    assert len(kept & set(near)) <= 1 and len(kept & set(far)) == 40
+
+
+def test_keep_one_nulls_and_repeats(spark):
+    text = "one two three four five six seven"
+    rows = [(4, text, "x", 1, 1), (4, text, "x", 1, 1), (2, None, None, None, None), (3, "", "x", 1, 1), (None, "other words here now and then", "x", 1, 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((r.doc_id or 0 for r in simhash.keep_one(df).collect())) == [0, 2, 4]
+    assert simhash.keep_one(df).columns == df.columns and simhash.keep_one(df.limit(0)).collect() == []
