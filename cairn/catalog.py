@@ -1,4 +1,7 @@
 """Every query of the engine with its SQL twin, by name."""
 
-QUERIES = {}
-ORACLES = {}
+from cairn.plans import queries
+from cairn.streaming import lookup as streaming
+
+QUERIES = queries.QUERIES | streaming.QUERIES
+ORACLES = queries.ORACLES | streaming.ORACLES
