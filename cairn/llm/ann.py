@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.common import materialize, read, with_fields
+from cairn.llm.common import hash_sample, materialize, read, with_fields
 
 #: Vectors that the rotation and the radius are learned from, and queries among them, at most.
 SAMPLE, SAMPLE_QUERIES = 10_000, 300
@@ -163,7 +163,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     other columns are not read; empty tables give no rows.
     """
     whole = materialize(valid(vectors, id_col, vec_col))
-    sample = whole.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    sample = hash_sample(whole, "id", SAMPLE).collect()
     if not sample:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = [len(r.vec) for r in sample]

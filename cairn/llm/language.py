@@ -63,24 +63,24 @@ def fit(declared: DataFrame, langs: list[str], text_col: str = "text", lang_col:
                 lang = np.array([at.get(c, -1) for c in part.column(1).to_pylist()])[doc] if len(doc) else doc
                 known = lang >= 0
                 held += np.bincount(lang[known] * BUCKETS + code[known], minlength=held.size).reshape(held.shape)
-        yield pa.RecordBatch.from_arrays([pa.array([held.ravel().tolist()], pa.list_(pa.float64()))], names=["v"])
+        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], names=["v"])
 
     def add(batches):
         total = None
         for batch in batches:
             for v in batch.column(0):
-                x = v.values.to_numpy()
+                x = np.frombuffer(v.as_py())
                 total = x if total is None else total + x
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
     if not langs:
         return np.zeros((0, BUCKETS))
-    kind = "v array<double>"
+    kind = "v binary"
     sums = materialize(declared.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(count, kind))
     while (n := sums.count()) > ADD:
         sums = materialize(sums.repartition(-(-n // ADD)).mapInArrow(add, kind))
-    counts = sum((np.array(r.v) for r in sums.collect()), np.zeros(len(langs) * BUCKETS)).reshape(len(langs), BUCKETS) + 0.5
+    counts = sum((np.frombuffer(r.v) for r in sums.collect()), np.zeros(len(langs) * BUCKETS)).reshape(len(langs), BUCKETS) + 0.5
     return np.log(counts / counts.sum(1, keepdims=True))
 
 

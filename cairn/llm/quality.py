@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import boosting
-from cairn.llm.common import read, slices, with_fields
+from cairn.llm.common import hash_sample, materialize, read, slices, with_fields
 
 #: Fixed by the contract.
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\v\f\r"
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     documents the trees are constant and keep everything.
     """
     labelled = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("_y"))
-    picked = labelled.orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    picked = materialize(hash_sample(materialize(labelled), id_col, sample))
     rows = document_stats(docs.select(id_col, "text").join(F.broadcast(picked.select(id_col)), id_col, "left_semi"))
     rows = rows.join(F.broadcast(picked), id_col).filter(~base_failed()).orderBy(F.xxhash64(id_col), id_col).limit(sample).toPandas()
     return boosting.fit(features(rows), rows["_y"].to_numpy(float), np.array(list(FEATURES.values())))
