@@ -28,7 +28,7 @@ SAMPLE, SAMPLE_QUERIES = 10_000, 300
 #: Part of the sample's true neighbours that the radius must hold.
 HELD = 0.985
 BITS, SUBSTRINGS, K = 64, 4, 20
-ROWS, QUERIES, BLOCK = 4096, 2048, 256
+ROWS, QUERIES, BLOCK = 32_768, 2048, 64
 
 
 class Codes:
