@@ -56,7 +56,12 @@ def _lines(points: DataFrame, line_cells: DataFrame, ways: DataFrame, key: str,
 
 def nearest_street(points: DataFrame, street_cells: DataFrame, street_ways: DataFrame, within: float | None = None, level: int = cells.STREET_LEVEL) -> DataFrame:
     """(qid, dist, way_id, name): the nearest of ``street_ways`` (way_id, name, nodes), indexed by (cell, way_id)."""
-    hits = _lines(points, street_cells, street_ways, "way_id", level).withColumn("dist", F.col("near.dist"))
+    # Segments travel with the postings, so points meet them in one join and are compared in generated code.
+    ways = street_ways.select("way_id", "name", segments(F.col("nodes")).alias("segs"))
+    probed = cells.probes(points.select("qid", "lat", "lon", _cos().alias("cos")), level)
+    hits = probed.join(street_cells.select("cell", "way_id").join(ways, "way_id"), "cell")
+    hits = hits.select("qid", "lat", "lon", "cos", "probe_rank", "way_id", "name", F.explode("segs").alias("s"))
+    hits = hits.withColumn("dist", to_segment(F.col("lat"), F.col("lon"), F.col("cos"), F.col("s.a"), F.col("s.b"))["dist"])
     if within is not None:
         hits = hits.filter(F.col("dist") < within)
     best = F.min_by(F.struct("dist", "way_id", "name"), F.struct("dist", "probe_rank", "way_id"))
