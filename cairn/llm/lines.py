@@ -99,3 +99,15 @@ def op6_lines(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), "removed_words", spans.alias("removed"))
 
 
+ORACLE = r"""
+WITH s AS (SELECT doc_id, string_split(COALESCE(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS k FROM s),
+o AS (SELECT doc_id, k, line, COALESCE(SUM(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+             list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM l),
+u AS (SELECT doc_id, k, line, off, len(words) AS n, array_to_string(list_filter(list_transform(words, lambda w: trim(w, '.,;:!?"''()[]{}*_#-')), lambda w: w <> ''), ' ') AS form FROM o),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY form ORDER BY doc_id, k) AS seen FROM u WHERE n >= 8 AND form <> '')
+SELECT d.doc_id, COUNT(r.k)::BIGINT AS n_units, COUNT(CASE WHEN seen > 1 THEN 1 END)::BIGINT AS n_removed,
+       COALESCE(SUM(CASE WHEN seen > 1 THEN n END), 0)::BIGINT AS removed_words,
+       COALESCE(string_agg(CASE WHEN seen > 1 THEN off || ':' || (off + length(line)) END, ',' ORDER BY k), '') AS removed
+FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
+"""
