@@ -42,7 +42,11 @@ def polygon(ring: np.ndarray, level: int = cells.ADMIN_LEVEL) -> list[tuple[int,
     for p, q in zip(ring, np.roll(ring, -1, axis=0), strict=True):
         n = 16 * max(1, int(np.ceil(np.abs(q - p).max() / width)))
         t = np.arange(n + 1) / n
-        edge.append(cells.keys(p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1]), level))
+        k = cells.keys(p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1]), level)
+        # a diagonal step may clip either cell beside it
+        (f0, i0, j0), (f1, i1, j1) = cells.unpack(k[:-1], level), cells.unpack(k[1:], level)
+        cut = (f0 == f1) & (i0 != i1) & (j0 != j1)
+        edge += [k, cells.pack(f0, i0, j1, level)[cut], cells.pack(f0, i1, j0, level)[cut]]
     outline = np.unique(np.concatenate(edge))
     seen, wave, held = set(outline.tolist()), outline, []
     while len(wave):

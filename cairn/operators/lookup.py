@@ -91,19 +91,22 @@ def nearest_interpolation(points: DataFrame, interp_cells: DataFrame, interp_way
 def containing(points: DataFrame, admin_cells: DataFrame, polygons: DataFrame, semantics: str = "reference", level: int = cells.ADMIN_LEVEL) -> DataFrame:
     """(qid, poly_id, name, admin_level, area, country_code): every polygon that holds a point.
 
-    A cell that lies inside a polygon needs no test: any probed one in "reference" mode, the own one only in
-    "corrected" mode. The others are tested by their bounding box, then by the even-odd rule.
+    Covers are complete, so a point's own cell names all polygons that may hold it; they are tested by their
+    bounding box, then by the even-odd rule. A cell that lies inside a polygon needs no test: any cell around
+    the point in "reference" mode, the own one only in "corrected" mode.
     """
-    hits = cells.probes(points.select("qid", "lat", "lon"), level).join(admin_cells.select("cell", "poly_id", "is_interior"), "cell")
-    sure = F.col("is_interior") if semantics == "reference" else F.col("is_interior") & (F.col("probe_rank") == 0)
-    pairs = hits.groupBy("qid", "lat", "lon", "poly_id").agg(F.bool_or(sure).alias("sure"))
-    boxed = polygons
+    inner = admin_cells.filter("is_interior").select("cell", "poly_id")
+    own = points.select("qid", "lat", "lon", cells.cell(F.col("lat"), F.col("lon"), level).alias("cell"))
+    boxed = polygons.select("poly_id", "vertices")
     for name, least, axis in (("lat0", F.array_min, "lat"), ("lat1", F.array_max, "lat"), ("lon0", F.array_min, "lon"), ("lon1", F.array_max, "lon")):
         boxed = boxed.withColumn(name, least(F.col("vertices")[axis]))
     y, x = F.col("lat").cast("float"), F.col("lon").cast("float")
     near = y.between(F.col("lat0"), F.col("lat1")) & x.between(F.col("lon0"), F.col("lon1"))
-    held = pairs.join(boxed, "poly_id").filter(F.col("sure") | (near & in_polygon(F.col("lat"), F.col("lon"), F.col("vertices"))))
-    return held.select("qid", "poly_id", "name", "admin_level", "area", "country_code")
+    tested = own.join(admin_cells.filter("NOT is_interior").select("cell", "poly_id"), "cell").join(boxed, "poly_id").filter(near).filter(in_polygon(F.col("lat"), F.col("lon"), F.col("vertices")))
+    around = cells.probes(points.select("qid", "lat", "lon"), level) if semantics == "reference" else own
+    sure = around.join(inner, "cell")
+    held = tested.select("qid", "poly_id").unionByName(sure.select("qid", "poly_id")).distinct()
+    return held.join(polygons.select("poly_id", "name", "admin_level", "area", "country_code"), "poly_id").select("qid", "poly_id", "name", "admin_level", "area", "country_code")
 
 
 def smallest_per_level(held: DataFrame) -> DataFrame:
