@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A key with more than one in HOT_SHARE of all rows is hot; at most HOT_SHARE keys can be.
 HOT_SHARE = 512
 #: Bytes of text that an Arrow function works on at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,7 +56,7 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int
     hot = right.filter(is_hot).select(key, pack.alias("_hot"))
     cold = right.filter(~is_hot).select(key, F.lit(0).cast("long").alias("_salt"), pack.alias("_cold"))
     found = left.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.lit(0).cast("long")).otherwise(F.lit(1) + F.monotonically_increasing_id())
+        "_salt", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.lit(0).cast("long")).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(1 << 20)))
     )
     both = found.join(cold, [key, "_salt"], "left").withColumn("_pack", F.coalesce("_hot", "_cold"))
     return both.select(*left.columns, *(F.col(f"_pack.{c}").alias(c) for c in cols))
@@ -74,6 +74,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
         held += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def with_fields(df: DataFrame, **kinds: str) -> T.StructType:

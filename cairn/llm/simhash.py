@@ -36,7 +36,7 @@ BITS, FAN = 64, 16
 #: Fingerprints in a node beyond which it is cut into parts.
 PART = 2048
 #: Pairs compared at once.
-STEP = 1 << 20
+STEP = 1 << 18
 #: Fingerprints that share a masked pattern on average, at most, before more bits are masked.
 CROWD = {"narrow": 8, "wide": 4096}
 #: keep_one: words of a shingle, least similarity, differing bits that the index allows in the first half.
