@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from functools import cache, lru_cache
 
 import numpy as np
@@ -23,10 +24,12 @@ from cairn.llm.common import read, slices, with_fields
 
 #: Fixed value: how byte-level vocabularies cut text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces whose tokens a worker remembers.
+#: Pieces whose tokens a worker remembers: the first it meets, which the common ones are among.
 REMEMBERED = 1 << 17
+#: Bytes of text cut into pieces at once; a piece is looked up once in them.
+TEXT_BYTES = 3 << 20
 #: Pairs whose compatibility a worker remembers.
-PAIRS = 1 << 18
+PAIRS = 1 << 17
 
 
 def byte_letters() -> dict[str, int]:
@@ -57,11 +60,13 @@ class Bpe:
         if len(rank) != len(names):
             raise ValueError("a token is made by two merges; ranks do not order such a vocabulary")
         self.ids = np.array([vocab[name] for name in names], np.uint32)
-        self.halves = [(r, r) for r in range(len(letters))] + [(rank[a], rank[b]) for a, b in merges]
-        self.merged = {h: r for r, h in enumerate(self.halves) if r >= len(letters)}
+        own = range(len(letters))
+        self.left = array("I", [*own, *(rank[a] for a, _ in merges)])
+        self.right = array("I", [*own, *(rank[b] for _, b in merges)])
+        self.merged = {a * len(names) + b: r for r, (a, b) in enumerate(zip(self.left, self.right, strict=True)) if r >= len(letters)}
         self.latin = [bytes(letters[c] for c in name).decode("latin-1") for name in names]
         self.rank = {t: r for r, t in enumerate(self.latin)}
-        self.size = [len(t) for t in self.latin]
+        self.size = array("I", map(len, self.latin))
         self.automaton = ahocorasick.Automaton()
         for r, t in enumerate(self.latin):
             self.automaton.add_word(t, r)
@@ -85,11 +90,11 @@ class Bpe:
     def _fits(self, a: int, b: int) -> bool:
         """Whether merging keeps these two apart: undo merges at their seam, the latest first, and look for a
         merge across it that would have come before the one undone last."""
-        before = len(self.latin)
+        n = before = len(self.latin)
         while True:
-            if self.merged.get((a, b), before) < before:
+            if self.merged.get(a * n + b, before) < before:
                 return False
-            left, right = self.halves[a][1], self.halves[b][0]
+            left, right = self.right[a], self.left[b]
             # of two halves at the seam that are still to be undone, the one merged later goes first;
             # a merge across the seam wins a tie with the right one, which lies further on
             if left == a and right == b:
@@ -125,10 +130,8 @@ class Bpe:
 
     def tokens(self, piece: str) -> tuple[int, ...]:
         if (got := self.known.get(piece)) is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
             got = self.encode_piece(piece)
-            if len(piece) <= 64:
+            if len(piece) <= 64 and len(self.known) < REMEMBERED:
                 self.known[piece] = got
         return got
 
@@ -206,7 +209,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         model = vocabulary.model()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=TEXT_BYTES):
                 ids, n = model.encode(part.column(1).to_pylist())
                 raw, edges = memoryview(ids.astype("<u4").tobytes()), np.concatenate([[0], 4 * np.cumsum(n)]).tolist()
                 packed = pa.array([bytes(raw[a:b]) for a, b in zip(edges, edges[1:], strict=False)], pa.binary())
