@@ -16,6 +16,8 @@ import numpy as np
 LANES, WINDOW = 512, 32
 #: Tokens in a window that make a whole step.
 FULL = LANES * WINDOW // 4
+#: Steps in a window of few lanes, at most.
+LONGEST = 512
 
 
 @dataclass
@@ -59,14 +61,32 @@ class Lanes:
         return Lanes(order, np.cumsum(length) - length, length)
 
     def windows(self):
-        """For each window, the steps' positions: active lanes are always the first ones."""
+        """For each window, the steps' positions: active lanes are always the first ones. Few lanes: longer windows."""
         top = int(self.length[0]) if len(self.length) else 0
-        for t in range(0, top, WINDOW):
-            yield [self.order[self.start[:a] + s] for s in range(t, min(t + WINDOW, top)) for a in [int(np.searchsorted(-self.length, -s, "left"))]]
+        alive = lambda s: int(np.searchsorted(-self.length, -s, "left"))
+        t = 0
+        while t < top:
+            end = min(t + max(WINDOW, min(LONGEST, FULL // alive(t))), top)
+            yield [self.order[self.start[: alive(s)] + s] for s in range(t, end)]
+            t = end
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+@dataclass
+class Trail:
+    """A window that has been run: positions, each step's range, where texts begin, gates, states."""
+
+    pos: np.ndarray
+    edges: list[tuple[int, int]]
+    stay: np.ndarray
+    starts: np.ndarray
+    gates: np.ndarray
+    states: np.ndarray
+    before: np.ndarray | None = None
+    inner: np.ndarray | None = None
+
+    @property
+    def last(self) -> np.ndarray:
+        return self.states[self.edges[-1][0] :]
 
 
 @dataclass
@@ -100,108 +120,119 @@ class Gru:
             at += n
         return Gru(shape, p)
 
-    def _run(self, window, given, fresh, h, keep):
-        """States after each step, and for backpropagation what made them."""
-        x, u, n3 = self.p["x"], self.p["u"], self.shape.hidden
-        out, trail = [], []
-        for pos in window:
-            a = len(pos)
-            hp = h[:a] * (1 - fresh[pos])[:, None]
-            gx, gh = x[given[pos]], hp @ u
-            rz = _sigmoid(gx[:, : 2 * n3] + gh[:, : 2 * n3])
-            r, z, un = rz[:, :n3], rz[:, n3:], gh[:, 2 * n3 :]
-            n = np.tanh(gx[:, 2 * n3 :] + r * un)
-            new = n + z * (hp - n)
-            h = new if a == len(h) else np.concatenate([new, h[a:]])
-            out.append(new)
+    def _run(self, window, given, fresh, h, keep) -> Trail:
+        """The window's states, step after step in one array, and for backpropagation what made them."""
+        u, k = self.p["u"], self.shape.hidden
+        pos = np.concatenate(window)
+        ends = np.cumsum([len(p) for p in window])
+        edges = list(zip((ends - [len(p) for p in window]).tolist(), ends.tolist(), strict=True))
+        stay = (1 - fresh[pos])[:, None]
+        t = Trail(pos, edges, stay, np.minimum.reduceat(stay[:, 0], [a for a, _ in edges]) == 0, self.p["x"][given[pos]], np.empty((len(pos), k), u.dtype))
+        if keep:
+            t.before, t.inner = np.empty_like(t.states), np.empty_like(t.states)
+        for (a, b), starts in zip(edges, t.starts, strict=True):
+            h = h[: b - a] * stay[a:b] if starts else h[: b - a]
+            own = h @ u
+            gate, new, out = t.gates[a:b, : 2 * k], t.gates[a:b, 2 * k :], t.states[a:b]
+            gate += own[:, : 2 * k]
+            gate *= 0.5
+            np.tanh(gate, out=gate)
+            gate *= 0.5
+            gate += 0.5
+            new += gate[:, :k] * own[:, 2 * k :]
+            np.tanh(new, out=new)
+            np.subtract(h, new, out=out)
+            out *= gate[:, k:]
+            out += new
             if keep:
-                trail.append((hp, r, z, un, n))
-        return h, out, trail
+                t.before[a:b], t.inner[a:b] = h, own[:, 2 * k :]
+            h = out
+        return t
+
+    @staticmethod
+    def _part(hs, w, b, pick, want_grads: bool):
+        """Log-probability of the picked column of each row, and the gradient of the logits."""
+        e = hs @ w
+        e += b
+        e -= e.max()  # one for all: rows do not lie far apart
+        rows = np.arange(len(pick))
+        target = e[rows, pick]
+        np.exp(e, out=e)
+        total = np.maximum(e @ np.ones(e.shape[1], e.dtype), 1e-30)
+        if want_grads:
+            e *= (-1 / total)[:, None]
+            e[rows, pick] += 1
+        return target - np.log(total), e
 
     def _softmax(self, hs, want, grads=None):
         """Natural log-probability of each wanted token (for rare ones: of their class); gradients if asked for."""
-        s, p = self.shape, self.p
+        s, p, learn = self.shape, self.p, grads is not None
         cls = np.where(want < s.words, want // s.members, want - s.words + s.classes)
-        rows = np.arange(len(want))
-        e = hs @ p["wc"] + p["bc"]
-        e -= e.max(1, keepdims=True)
-        target = e[rows, cls]
-        np.exp(e, out=e)
-        total = e.sum(1)
-        lp = (target - np.log(total)).astype(np.float64)
+        order = np.argsort(cls, kind="stable")
+        hs, cls, member = hs[order], cls[order], want[order] % s.members
+        edges = np.searchsorted(cls, np.arange(s.classes + 1)).tolist()
+        lp, e = self._part(hs, p["wc"], p["bc"], cls, learn)
         dh = None
-        if grads is not None:
-            e /= -total[:, None]
-            e[rows, cls] += 1
-            grads["wc"], grads["bc"] = hs.T @ e, e.sum(0)
-            dh = e @ p["wc"].T
+        if learn:
+            grads["wc"], grads["bc"], dh = hs.T @ e, e.sum(0), e @ p["wc"].T
             grads["ww"], grads["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(s.classes + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            own = order[edges[c] : edges[c + 1]]
-            hc, member = hs[own], want[own] % s.members
-            e = hc @ p["ww"][c] + p["bw"][c]
-            e -= e.max(1, keepdims=True)
-            rows = np.arange(len(own))
-            target = e[rows, member]
-            np.exp(e, out=e)
-            total = e.sum(1)
-            lp[own] += target - np.log(total)
-            if grads is not None:
-                e /= -total[:, None]
-                e[rows, member] += 1
-                grads["ww"][c], grads["bw"][c] = hc.T @ e, e.sum(0)
-                dh[own] += e @ p["ww"][c].T
-        return lp, dh
+        for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            if a == b:
+                continue
+            more, e = self._part(hs[a:b], p["ww"][c], p["bw"][c], member[a:b], learn)
+            lp[a:b] += more
+            if learn:
+                grads["ww"][c], grads["bw"][c] = hs[a:b].T @ e, e.sum(0)
+                dh[a:b] += e @ p["ww"][c].T
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return lp[back].astype(np.float64), dh[back] if learn else None
 
     def score(self, given, want, fresh, lanes: Lanes) -> np.ndarray:
         """Log-probability (natural) of every position."""
         lp = np.zeros(len(want))
-        h = np.zeros((len(lanes.length), self.shape.hidden), np.float32)
+        h = np.zeros((len(lanes.length), self.shape.hidden), self.p["u"].dtype)
         for window in lanes.windows():
-            h, out, _ = self._run(window, given, fresh, h[: len(window[0])], False)
-            pos = np.concatenate(window)
-            lp[pos] = self._softmax(np.concatenate(out), want[pos])[0]
+            t = self._run(window, given, fresh, h, False)
+            h = t.last
+            lp[t.pos] = self._softmax(t.states, want[t.pos])[0]
         return lp
 
-    def train(self, given, want, fresh, lanes: Lanes, every: int = 1, rate: float = 0.005) -> int:
-        """One pass: states run through every window, gradients through each ``every``-th. Tokens learned from."""
-        h = np.zeros((len(lanes.length), self.shape.hidden), np.float32)
-        seen = 0
-        for k, window in enumerate(lanes.windows()):
-            learn = k % every == 0
-            h, out, trail = self._run(window, given, fresh, h[: len(window[0])], learn)
-            if not learn:
-                continue
+    def train(self, given, want, fresh, lanes: Lanes, rate: float = 0.005) -> int:
+        """One pass over all windows, states carried, gradients cut at each window's start. Tokens learned from."""
+        h = np.zeros((len(lanes.length), self.shape.hidden), self.p["u"].dtype)
+        for window in lanes.windows():
+            t = self._run(window, given, fresh, h, True)
+            h = t.last
             grads: dict[str, np.ndarray] = {}
-            pos = np.concatenate(window)
-            _, dhs = self._softmax(np.concatenate(out), want[pos], grads)
-            self._back(window, given, fresh, trail, dhs, grads)
-            self._step(grads, len(pos), rate)
-            seen += len(pos)
-        return seen
-
-    def _back(self, window, given, fresh, trail, dhs, grads):
-        u = self.p["u"]
-        du, dx, at = np.zeros_like(u), np.empty((len(dhs), u.shape[1]), np.float32), len(dhs)
-        carried = np.zeros((0, u.shape[0]), np.float32)
-        for pos, (hp, r, z, un, n) in zip(reversed(window), reversed(trail), strict=True):
-            a = len(pos)
-            dh = dhs[at - a : at]
+            _, dhs = self._softmax(t.states, want[t.pos], grads)
+            self._back(t, given, dhs, grads)
+            self._step(grads, len(t.pos), rate)
+        return len(want)
+
+    def _back(self, t: Trail, given, dhs, grads):
+        k = self.shape.hidden
+        r, z, n = t.gates[:, :k], t.gates[:, k : 2 * k], t.gates[:, 2 * k :]
+        to_new, to_r, to_z = (1 - z) * (1 - n * n), t.inner * r * (1 - r), (t.before - n) * z * (1 - z)
+        dx, dnew, down = np.empty_like(t.gates), np.empty_like(t.states), np.ascontiguousarray(self.p["u"].T)
+        carried = dhs[:0]
+        for (a, b), starts in zip(reversed(t.edges), t.starts[::-1], strict=True):
+            dh, d, dn = dhs[a:b], dx[a:b], dnew[a:b]
             dh[: len(carried)] += carried
-            dan = dh * (1 - z) * (1 - n * n)
-            dar, daz = dan * un * r * (1 - r), dh * (hp - n) * z * (1 - z)
-            dx[at - a : at] = np.concatenate([dar, daz, dan], 1)
-            inner = np.concatenate([dar, daz, dan * r], 1)
-            du += hp.T @ inner
-            carried = (dh * z + inner @ u.T) * (1 - fresh[pos])[:, None]
-            at -= a
-        grads["u"] = du
-        of = given[np.concatenate(window)]
+            np.multiply(dh, to_new[a:b], out=dn)
+            np.multiply(dn, to_r[a:b], out=d[:, :k])
+            np.multiply(dh, to_z[a:b], out=d[:, k : 2 * k])
+            np.multiply(dn, r[a:b], out=d[:, 2 * k :])
+            carried = d @ down
+            carried += dh * z[a:b]
+            if starts:
+                carried *= t.stay[a:b]
+        grads["u"] = t.before.T @ dx
+        dx[:, 2 * k :] = dnew
+        of = given[t.pos]
         order = np.argsort(of, kind="stable")
-        starts = np.flatnonzero(np.append(True, np.diff(of[order]) > 0))
-        grads["x"] = (of[order][starts], np.add.reduceat(dx[order], starts, axis=0))
+        rows = np.flatnonzero(np.append(True, np.diff(of[order]) > 0))
+        grads["x"] = (of[order][rows], np.add.reduceat(dx[order], rows, axis=0))
 
     def _step(self, grads, n: int, rate: float):
         """Adam, upwards; rows of ``x`` that were not given are left alone. Windows of few tokens move less."""

@@ -30,8 +30,11 @@ SHAPE = Shape(classes=32, members=32, rare=16, hidden=24)
 ROUNDS = 3
 #: Held out: documents whose crc32 of the id, as text, leaves HELD_OUT[1] divided by HELD_OUT[0].
 HELD_OUT = (7, 2)
-#: Distinct tokens that a counting task holds before it hands them on; bytes of text scored at once.
-HELD_TOKENS, TEXT_BYTES = 200_000, 8 << 20
+#: Distinct tokens that a counting task holds before it hands them on; tokens that the network runs over at once
+#: (long documents take their steps beside many others).
+HELD_TOKENS, TOKENS = 300_000, 3_000_000
+#: Rare tokens whose class a worker remembers.
+KNOWN = 300_000
 #: Parameter vectors that one task adds up.
 ADD = 16
 
@@ -41,14 +44,14 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "replace").lower().split(), END]
 
 
+_ASCII = bytes(range(128))
+_BANDS = [(n > 4) + (n > 7) + (n > 11) for n in range(13)]
+
+
 def rare_class(token: bytes) -> int:
     """By the first letter outside ASCII (or none), and by length: 16 classes."""
-    n = len(token)
-    band = (n > 4) + (n > 7) + (n > 11)
-    if token.isascii():
-        return band
-    first = next(i for i, b in enumerate(token) if b > 127)
-    return 4 * (1 + sum(token[first : first + 2]) % 3) + band
+    band = _BANDS[min(len(token), 12)]
+    return band if token.isascii() else 4 * (1 + sum(token.translate(None, _ASCII)[:2]) % 3) + band
 
 
 def is_held_out(id_col: str):
@@ -81,32 +84,53 @@ def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return made.groupBy("token", "cls").agg(F.sum("n").alias("n"))
 
 
+class Numbers(dict):
+    """The network's number of every token; those of rare ones are made when first met."""
+
+    def __init__(self, word: dict[bytes, int], shape: Shape):
+        super().__init__(word)
+        self.first = shape.words
+
+    def __missing__(self, token: bytes) -> int:
+        n = self.first + rare_class(token)
+        if len(self) < KNOWN:
+            self[token] = n
+        return n
+
+    def of(self, flat: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, flat), np.int32, len(flat))
+
+
 class Lexicon:
-    """What every executor needs of the counts: the head's, and the sums that normalise."""
+    """What every executor needs of the counts: the head's, and the sums that normalise.
+
+    The head is all tokens from some count on, so chosen that they are HEAD at most.
+    """
 
     def __init__(self, counts: DataFrame, shape: Shape):
-        head = counts.orderBy(F.desc("n"), "token").limit(HEAD).collect()
-        self.head = {bytes(r.token): r.n for r in head}
-        self.word = {bytes(r.token): i for i, r in enumerate(head[: shape.words])}
+        band = F.floor(F.log2("n") * 8).cast("int")
+        least, room = 0, HEAD
+        for r in sorted(counts.groupBy(band.alias("b")).count().collect(), key=lambda r: -r.b):  # 504 rows at most
+            if r["count"] > room:
+                least = r.b + 1
+                break
+            room -= r["count"]
+        rows = counts.filter(band >= least).toArrow()
+        token, n, cls = (rows.column(c).to_pylist() for c in ("token", "n", "cls"))
+        first = sorted(range(len(token)), key=lambda i: (-n[i], token[i]))[: shape.words]
+        self.head = dict(zip(token, n, strict=True))
+        self.word = {token[i]: k for k, i in enumerate(first)}
         sums = {r.cls: r for r in counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
         self.n, self.v = sum(r.n for r in sums.values()), sum(r.v for r in sums.values())
         own = np.zeros(shape.words)
         rare_n, rare_v = (np.array([getattr(sums[c], k) if c in sums else 0 for c in range(shape.rare)], float) for k in ("n", "v"))
-        for r in head[: shape.words]:
-            own[self.word[bytes(r.token)]] = r.n
-            rare_n[r.cls] -= r.n
-            rare_v[r.cls] -= 1
+        for k, i in enumerate(first):
+            own[k] = n[i]
+            rare_n[cls[i]] -= n[i]
+            rare_v[cls[i]] -= 1
         self.counts = np.concatenate([own, rare_n])
         self.rare_log = np.log10(rare_n + rare_v + 1)
 
-    def number(self, flat: list[bytes], shape: Shape):
-        """Distinct tokens, each position's index among them, and each one's number for the network."""
-        coded = pa.array(flat, pa.binary()).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        word = self.word
-        numbers = np.fromiter((word[t] if t in word else shape.words + rare_class(t) for t in distinct), np.int64, len(distinct))
-        return distinct, coded.indices.to_numpy(zero_copy_only=False), numbers
-
 
 def _lanes(want: np.ndarray, sizes: np.ndarray, shape: Shape):
     fresh = np.zeros(len(want), np.float32)
@@ -115,6 +139,10 @@ def _lanes(want: np.ndarray, sizes: np.ndarray, shape: Shape):
     return given, want, fresh, Lanes.pack(sizes)
 
 
+def _vector(weight: float, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([float(weight)]), pa.array([v.tobytes()], pa.binary())], names=["w", "v"])
+
+
 def train(docs: DataFrame, lexicon, sent, text_col: str = "text", id_col: str = "doc_id", shape: Shape = SHAPE, rounds: int = ROUNDS) -> np.ndarray:
     """Parameters learned from all rows of ``docs``, one vector of fixed length."""
     sc = docs.sparkSession.sparkContext
@@ -124,32 +152,41 @@ def train(docs: DataFrame, lexicon, sent, text_col: str = "text", id_col: str =
         start = sc.broadcast(vector)
 
         def run(batches, start=start):
-            lex, model, seen = pickle.loads(sent.value), Gru.of(shape, start.value), 0
+            numbers, model, seen = Numbers(pickle.loads(sent.value).word, shape), Gru.of(shape, start.value), 0
+            held, n = [], 0
+
+            def learn():
+                if held:
+                    model.train(*_lanes(np.concatenate(held), np.fromiter(map(len, held), np.int64, len(held)), shape))
+                    held.clear()
+                return n
+
             for batch in batches:
-                for part in slices(batch, limit=TEXT_BYTES):
-                    split = [tokens(t) for t in part.column(0).to_pylist()]
-                    sizes = np.fromiter(map(len, split), np.int64, len(split))
-                    _, index, numbers = lex.number([t for s in split for t in s], shape)
-                    seen += model.train(*_lanes(numbers[index], sizes, shape))
+                for text in batch.column(0):
+                    held.append(numbers.of(tokens(text.as_py())))
+                    n += len(held[-1])
+                    if n > TOKENS:
+                        seen, n = seen + learn(), 0
+            seen += learn()
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([(model.vector().astype(np.float64) * seen).tolist()], pa.list_(pa.float64()))], names=["w", "v"])
+                yield _vector(seen, model.vector().astype(np.float64) * seen)
 
         def add(batches):
             w, v = 0.0, None
             for batch in batches:
                 for i in range(batch.num_rows):
-                    x = batch.column(1)[i].values.to_numpy()
+                    x = np.frombuffer(batch.column(1)[i].as_py())
                     w, v = w + batch.column(0)[i].as_py(), x if v is None else v + x
             if v is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([w]), pa.array([v.tolist()], pa.list_(pa.float64()))], names=["w", "v"])
+                yield _vector(w, v)
 
-        kind = "w double, v array<double>"
+        kind = "w double, v binary"
         parts = materialize(docs.filter(part_of == r).select(F.col(text_col).alias("text")).mapInArrow(run, kind))
         while (n := parts.count()) > ADD:
             parts = materialize(parts.repartition(-(-n // ADD)).mapInArrow(add, kind))
         rows = parts.collect()  # ADD vectors at most
         if total := sum(x.w for x in rows):
-            vector = (sum(np.array(x.v) for x in rows) / total).astype(np.float32)
+            vector = (sum(np.frombuffer(x.v) for x in rows) / total).astype(np.float32)
     return vector
 
 
@@ -161,36 +198,57 @@ def score(docs: DataFrame, counts: DataFrame, lexicon, sent, vector: np.ndarray,
 
     def run(batches):
         lex, model = pickle.loads(sent.value), Gru.of(shape, params.value)
-        per_token, head = log10(lex.n + lex.v + 1), lex.head
+        numbers, per_token = Numbers(lex.word, shape), log10(lex.n + lex.v + 1)
+        gain_of = lex.head
+        for t, n in gain_of.items():
+            gain_of[t] = log10(n + 1)
         key = TaskContext.get().partitionId() << 33
+        ids, wants, gains, far, owner = [], [], [], [], []
+
+        def judge():
+            nonlocal key
+            d = len(ids)
+            sizes = np.fromiter(map(len, wants), np.int64, d)
+            doc, want, gain = np.repeat(np.arange(d), sizes), np.concatenate(wants), np.concatenate(gains)
+            rare = want >= shape.words
+            lp = model.score(*_lanes(want, sizes, shape)) / log(10)
+            lp[rare] += gain[rare] - lex.rare_log[want[rare] - shape.words]
+            total = lambda x: np.bincount(doc, x, d)
+            keys = key + np.arange(d)
+            key += d
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), pa.array(ids, id_type), pa.array(sizes), pa.array(total(gain > 0).astype(np.int64)), pa.array(total(gain) - sizes * per_token), pa.array(total(lp)), pa.nulls(d, pa.binary()), pa.nulls(d, pa.int64())],
+                names=fields,
+            )
+            coded = pa.array(far, pa.binary()).dictionary_encode()
+            width = max(1, len(coded.dictionary))
+            pair, tf = np.unique(np.array(owner, np.int64) * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            n = len(pair)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[pair // width]), pa.nulls(n, id_type), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), coded.dictionary.take(pa.array(pair % width)), pa.array(tf.astype(np.int64))],
+                names=fields,
+            )
+            for x in (ids, wants, gains, far, owner):
+                x.clear()
+
+        held, id_type = 0, None
         for batch in batches:
-            for part in slices(batch, limit=TEXT_BYTES):
-                split = [tokens(t) for t in part.column(1).to_pylist()]
-                d = len(split)
-                sizes = np.fromiter(map(len, split), np.int64, d)
-                doc = np.repeat(np.arange(d), sizes)
-                distinct, index, numbers = lex.number([t for s in split for t in s], shape)
-                del split
-                count = np.fromiter((head.get(t, -1) for t in distinct), np.int64, len(distinct))
-                gain = np.log10(np.maximum(count, 0) + 1.0)
-                rare = numbers >= shape.words
-                own = np.where(rare, gain - lex.rare_log[np.maximum(numbers - shape.words, 0)], 0.0)
-                lp = model.score(*_lanes(numbers[index], sizes, shape)) / log(10) + own[index]
-                total = lambda x: np.bincount(doc, x, d)  # noqa: E731, B023
-                keys = key + np.arange(d)
-                key += d
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), part.column(0), pa.array(sizes), pa.array(total(count[index] > 0).astype(np.int64)), pa.array(total(gain[index]) - sizes * per_token), pa.array(total(lp)), pa.nulls(d, pa.binary()), pa.nulls(d, pa.int64())],
-                    names=fields,
-                )
-                far = np.flatnonzero(count[index] < 0)
-                pair, tf = np.unique(doc[far] * len(distinct) + index[far], return_counts=True)
-                n = len(pair)
-                words = pa.array(distinct, pa.binary()).take(pa.array(pair % max(1, len(distinct))))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[pair // max(1, len(distinct))]), pa.nulls(n, part.column(0).type), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())), words, pa.array(tf.astype(np.int64))],
-                    names=fields,
-                )
+            id_type = batch.column(0).type
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                flat = tokens(text.as_py())
+                gain = np.fromiter((gain_of.get(t, -1.0) for t in flat), np.float64, len(flat))
+                rest = np.flatnonzero(gain < 0).tolist()
+                far += [flat[k] for k in rest]
+                owner += [len(ids)] * len(rest)
+                ids.append(i)
+                wants.append(numbers.of(flat))
+                gains.append(np.maximum(gain, 0))
+                held += len(flat)
+                if held > TOKENS:
+                    yield from judge()
+                    held = 0
+        if ids:
+            yield from judge()
 
     schema = f"key long, id {kind}, n_tokens long, known long, base double, model double, token binary, tf long"
     rows = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema))
