@@ -14,15 +14,15 @@ Fingerprints of 64 bits link at ``radius`` or fewer differing bits. The index ov
 Each task gives a spanning forest of the links it found, never all pairs.
 
 Half of the bits of two random texts differ; a Jaccard similarity s of shingles is a cosine of about
-2s/(1+s), which makes the part arccos(2s/(1+s))/pi of the bits differ. At s = 0.8 that is 0.15, which 64
-bits measure badly. ``keep_one`` therefore takes 128 bits: the index finds pairs on the first 64 with a
-wide radius, and all 128 decide.
+2s/(1+s), which makes the part arccos(2s/(1+s))/pi of the bits differ. At s = 0.8 that is 0.15, which
+neither 64 nor 128 bits measure well enough to decide. ``keep_one`` therefore finds candidates by minima of
+hashed shingles in bands, and compares the exact shingle sets of all of them.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
 from itertools import combinations
-from math import acos, floor, pi
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,12 @@ PART = 2048
 STEP = 1 << 18
 #: Fingerprints that share a masked pattern on average, at most, before more bits are masked.
 CROWD = {"narrow": 8, "wide": 4096}
-#: keep_one: words of a shingle, least similarity, differing bits that the index allows in the first half.
-WORDS, SIMILARITY, REACH = 5, 0.8, 11
+#: keep_one: words of a shingle, least similarity.
+WORDS, SIMILARITY = 5, 0.8
+#: Differing bits of the first half that near_duplicates() with ``whole_radius`` took for similarity 0.8.
+REACH = 11
+#: Bands of minima, minima in a band; sets that are compared in one task.
+BANDS, ROWS, GROUP = 48, 6, 128
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -245,18 +249,154 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, reach: int = REACH) -> DataFrame:
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles' XXH64 (seed 42) in A-Z lower-cased text, sorted: what fingerprint() counts, each once."""
+    from xxhash import xxh64_intdigest as digest
+
+    found = (text or "").encode("utf-8", "replace").lower().split()
+    n = min(words, len(found))
+    return np.array(sorted({digest(b" ".join(found[i : i + n]), 42) for i in range(len(found) - n + 1)} if found else ()), np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys; two sets of Jaccard similarity s share a given one with chance s**ROWS."""
+    rng = np.random.default_rng(42)
+    odd, plus = rng.integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    mixed = _mixed(hashes)
+    for i in range(0, len(mixed), 256):
+        least = np.minimum(least, (((mixed[i : i + 256, None] ^ plus) * (odd * np.uint64(2) + np.uint64(1))) >> np.uint64(16)).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
+    return key
+
+
+def digest_of(hashes: np.ndarray) -> bytes:
+    return blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect all of the sets whose exact Jaccard similarity is ``similarity`` or more."""
+    size = np.array([len(s) for s in sets])
+    _, word = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, at = np.repeat(np.arange(len(sets)), size), np.append(0, np.cumsum(size))
+    order = np.argsort(word, kind="stable")
+    ends = np.append(0, np.cumsum(np.bincount(word)))
+    label, a, b = np.arange(len(sets)), [], []
+    for i in range(len(sets)):
+        mine = word[at[i] : at[i + 1]]
+        n = ends[mine + 1] - ends[mine]
+        post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[mine], n)
+        both = np.bincount(owner[order[post]], minlength=len(sets))
+        near = np.flatnonzero((both >= similarity * (size[i] + size - both) * (1 - 1e-12)) & (label != label[i]))
+        for j in near.tolist():
+            if label[j] != label[i]:
+                a.append(i)
+                b.append(j)
+                label[label == label[j]] = label[i]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def verified(sets: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """``sets`` (keys: longs, node, shingles array<long>) -> edges (a, b) as similar() finds them within each key."""
+
+    def run(batches):
+        held, last = [], None
+
+        def work():
+            if len(held) > 1:
+                i, j = similar([s for _, s in held], similarity)
+                node = np.array([n for n, _ in held], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
+
+        for batch in batches:
+            rows = [batch.column(k).to_pylist() for k in range(len(keys) + 1)]
+            for *key, node, got in zip(*rows, batch.column(len(keys) + 1), strict=True):
+                if key != last:
+                    yield from work()
+                    held, last = [], key
+                held.append((node, got.values.to_numpy().view(np.uint64)))
+        yield from work()
+
+    return sets.select(*keys, "node", "shingles").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def similar_groups(sets: DataFrame, similarity: float) -> DataFrame:
+    """``sets`` (loose, n, node, shingles; n sets in each loose group) -> (node, component) over all similar pairs of a group.
+
+    Groups of more than GROUP are cut into even parts. Parts are connected inside first, then by one set of
+    each connected piece; only where pieces remain apart are all pairs of parts compared.
+    """
+    parts = F.ceil(F.col("n") / GROUP)
+    sets = sets.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), parts))
+    edges = materialize(verified(sets, ["loose", "part"], similarity))
+    large = sets.filter("parts > 1")
+    if large.isEmpty():
+        return components(edges)
+
+    def pieces(edges):
+        found = large.drop("shingles").join(components(edges), "node", "left")
+        return materialize(found.withColumn("piece", F.coalesce("component", "node")).select("loose", "node", "piece"))
+
+    named = pieces(edges)
+    firsts = named.filter("node = piece")
+    few = firsts.groupBy("loose").count().filter(F.col("count").between(2, 4 * GROUP)).select("loose")
+    heads = large.join(firsts.join(few, "loose", "left_semi").select("node"), "node", "left_semi")
+    edges = materialize(edges.union(verified(heads, ["loose"], similarity)))
+    apart = materialize(pieces(edges).groupBy("loose").agg(F.min("piece").alias("p"), F.max("piece").alias("q")).filter("p <> q").select("loose"))
+    if not apart.isEmpty():
+        rest = large.join(apart, "loose", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("other <> part")
+        rest = rest.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+        edges = materialize(edges.union(verified(rest, ["loose", "lo", "hi"], similarity)))
+    return components(edges)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without those that have a near-duplicate of smaller id: of each group, the smallest id stays.
 
-    Groups are the components over pairs whose estimated Jaccard similarity is ``similarity`` or more: two
-    fingerprints of 128 bits may differ in as many bits as that similarity makes differ on average, and in
-    ``reach`` of the first 64. Rows without id stay. Of rows that repeat an id one stays.
+    Groups are the components over pairs whose exact Jaccard similarity of distinct shingles is
+    ``similarity`` or more. Candidates are the texts connected over shared band keys (see band_keys); all
+    their pairs are compared by their shingles, so no pair below ``similarity`` links, and a pair at 0.8 is
+    no candidate with chance (1 - 0.8**ROWS)**BANDS, under one in a million. Texts with the same shingles
+    shrink to one before that; texts without words are alike. Rows without id stay. Of rows that repeat an
+    id one stays.
     """
-    allowed = floor(2 * BITS * acos(2 * similarity / (1 + similarity)) / pi)
-    groups = materialize(near_duplicates(docs, id_col, text_col, words, reach, allowed))
-    gone = groups.filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def sketch(batches):
+        for batch in batches:
+            for part in slices(batch):
+                found = [shingles(t, words) for t in part.column(1).to_pylist()]
+                keys = [band_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([digest_of(s) for s in found], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "print", "bands"])
+
+    def sets_of(batches):
+        for batch in batches:
+            for part in slices(batch):
+                found = [shingles(t, words) for t in part.column(0).to_pylist()]
+                own = pa.array([digest_of(s) == p for s, p in zip(found, part.column(1).to_pylist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["loose", "n", "node", "shingles"]).filter(own)
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints = materialize(rows.mapInArrow(sketch, f"id {kind}, print binary, bands array<long>"))
+    distinct = prints.filter("id IS NOT NULL").groupBy("print").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    distinct = materialize(distinct.withColumn("node", F.xxhash64("print")))
+    bands = distinct.select("node", F.explode("bands").alias("key"))
+    shared = materialize(bands.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    edges = hot_join(bands, shared, "key", "m", distinct.count() * BANDS).filter("first <> node").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    loose = components(edges).withColumnRenamed("component", "loose")
+    loose = materialize(loose.join(loose.groupBy("loose").agg(F.count(F.lit(1)).alias("n")), "loose"))
+    wanted = materialize(distinct.drop("n", "bands").join(loose, "node").select(F.col("least").alias("id"), "print", "loose", "n", "node"))
+    sets = rows.join(wanted, "id").select("text", "print", "loose", "n", "node").mapInArrow(sets_of, "loose long, n long, node long, shingles array<long>")
+    groups = materialize(similar_groups(materialize(sets), similarity))
+    named = distinct.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("bands", "component")
+    first = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    named = materialize(named.join(first, "group").select("print", "component_id", "n"))
+    member = materialize(hot_join(prints.filter("id IS NOT NULL").select("id", "print"), named, "print", "n", prints.count()).select(F.col("id").alias(id_col), "component_id"))
+    gone = member.filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
     kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    again = materialize(groups.groupBy(id_col).count().filter(f"count > 1 AND {id_col} IS NOT NULL").select(id_col))
+    again = materialize(member.groupBy(id_col).count().filter("count > 1").select(id_col))
     if again.isEmpty():
         return kept
     return kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns))

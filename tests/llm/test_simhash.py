@@ -95,3 +95,52 @@ def test_keep_one_nulls_and_repeats(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted((r.doc_id or 0 for r in simhash.keep_one(df).collect())) == [0, 2, 4]
     assert simhash.keep_one(df).columns == df.columns and simhash.keep_one(df.limit(0)).collect() == []
+
+
+def plain_kept(texts: dict[int, str | None]):
+    """Ids that stay by exact Jaccard similarity of five-word shingles, over all pairs that share one."""
+    sets = {}
+    for i, t in texts.items():
+        words = (t or "").encode().lower().split()
+        sets[i] = {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else {b""}
+    owners, group = {}, {i: i for i in sets}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in sorted(sets):
+        both = {}
+        for s in sets[i]:
+            for j in owners.setdefault(s, []):
+                both[j] = both.get(j, 0) + 1
+            owners[s].append(i)
+        for j, n in both.items():
+            if 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    return {i for i in sets if root(i) == i}
+
+
+@pytest.mark.parametrize("group", [128, 7])
+def test_keep_one_decides_by_exact_similarity(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    texts = {}
+    for k in range(30):  # 400 shingles; 44 new words leave 356 of 444 (0.802), 46 leave 354 of 446 (0.794)
+        base = [word() for _ in range(404)]
+        texts |= {10 * k: " ".join(base), 10 * k + 1: " ".join(base[:-44] + [word() for _ in range(44)]), 10 * k + 2: " ".join([word() for _ in range(46)] + base[46:])}
+    chain = [word() for _ in range(404)]
+    for k in range(40):  # a row of sets, each like the next only
+        texts[1000 + k] = " ".join(chain)
+        chain = chain[30:] + [word() for _ in range(30)]
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == plain_kept(texts) == {i for k in range(30) for i in (10 * k, 10 * k + 2)} | {1000}
+
+
+def test_keep_one_of_a_whole_table(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == plain_kept(texts)
