@@ -6,17 +6,20 @@ Fingerprints of 64 bits link at ``radius`` or fewer differing bits. The index ov
   agree on k - radius blocks at least, so under each choice of that many blocks (a mask) the fingerprints
   with the same masked pattern form a node, and every link lies within some node. k grows with the number
   of fingerprints, so that nodes stay small;
-* a node that has very many fingerprints is cut into even parts, and each pair of parts becomes a node;
+* a node that has very many fingerprints is divided by more shared bits: its free bits are cut into
+  radius + 1 blocks, on one of which two linked fingerprints agree. What is still large is cut into even
+  parts, and each pair of parts becomes a node;
 * within a node, fingerprints stand by Gray rank; runs of 16, and runs of 16 of those, are inner nodes with
   the bits that all below them share. Two inner nodes whose shared bits differ in more than ``radius``
   places are skipped with all that is below them.
 
-Each task gives a spanning forest of the links it found, never all pairs.
+Each task gives a spanning forest of the links it found, as stars around the smallest id, never all pairs.
 
-Half of the bits of two random texts differ; a Jaccard similarity s of shingles is a cosine of about
-2s/(1+s), which makes the part arccos(2s/(1+s))/pi of the bits differ. At s = 0.8 that is 0.15, which
-neither 64 nor 128 bits measure well enough to decide. ``keep_one`` therefore finds candidates by minima of
-hashed shingles in bands, and compares the exact shingle sets of all of them.
+``keep_one`` decides by similarity, which fingerprints measure too coarsely: a Jaccard similarity s is a
+cosine of about 2s/(1+s), which makes the part arccos(2s/(1+s))/pi of the bits differ. At s = 0.8 that is
+0.15, or 10 of 64 bits give or take 3, and no index over 64 or 128 bits tells that from unrelated texts
+without comparing a fixed part of all pairs. So the index gives it the close copies as candidates, minima of
+hashed shingles in bands give it the others, and the exact shingle sets of all candidates are compared.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import hot_join, materialize, read, slices
+from cairn.llm.common import hot_join, materialize, read, slices, with_fields
 from cairn.llm.graph import components
 
 BITS, FAN = 64, 16
@@ -38,13 +42,11 @@ PART = 2048
 #: Pairs compared at once.
 STEP = 1 << 18
 #: Fingerprints that share a masked pattern on average, at most, before more bits are masked.
-CROWD = {"narrow": 8, "wide": 4096}
-#: keep_one: words of a shingle, least similarity.
-WORDS, SIMILARITY = 5, 0.8
-#: Differing bits of the first half that near_duplicates() with ``whole_radius`` took for similarity 0.8.
-REACH = 11
-#: Bands of minima, minima in a band; sets that are compared in one task.
-BANDS, ROWS, GROUP = 48, 6, 128
+CROWD = 8
+#: keep_one: words of a shingle, least similarity, differing bits of fingerprints that are candidates.
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 4
+#: Bands of minima, minima in a band; sets that are compared in one task; parts of a group of which all pairs are compared.
+BANDS, ROWS, GROUP, PAIRED = 48, 6, 128, 64
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -63,31 +65,35 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def fingerprint(text: str | None, words: int, wide: bool = False) -> tuple[int, int]:
-    """Of the shingles' XXH64 (seed 42) in A-Z lower-cased text, and of the mixed hashes (0 if not ``wide``)."""
+def hashes_of(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle of the A-Z lower-cased text, repeats included."""
     from xxhash import xxh64_intdigest as digest
 
     found = (text or "").encode("utf-8", "replace").lower().split()
     if not found:
-        return 0, 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(found), min(words, len(found))
     at = np.zeros(len(found) + 1, np.int64)
     np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1, out=at[1:])
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(at[: len(found) - n + 1].tolist(), (at[n:] - 1).tolist(), strict=True)], np.uint64)
-    return _majority(hashes), _majority(_mixed(hashes)) if wide else 0
+    return np.array([digest(joined[a:b], 42) for a, b in zip(at[: len(found) - n + 1].tolist(), (at[n:] - 1).tolist(), strict=True)], np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, wide: bool = False) -> DataFrame:
-    """(id, fp long, more long): the fingerprint of each whole text, as signed numbers. Null text: no words, so 0."""
+def fingerprint(text: str | None, words: int) -> int:
+    """Of the shingles' hashes; zero without words."""
+    return _majority(hashes_of(text, words))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
+    """(id, fp long): the fingerprint of each whole text, as a signed number. Null text: no words, so 0."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                fps = np.array([fingerprint(t, words, wide) for t in part.column(1).to_pylist()], np.uint64).view(np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps[:, 0]), pa.array(fps[:, 1])], names=["id", "fp", "more"])
+                fps = np.array([fingerprint(t, words) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, more long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
 def masks(n: int, radius: int, crowd: int) -> list[int]:
@@ -149,14 +155,11 @@ def descend(tree: list[Nodes], fp, radius: int, level: int, i, j):
         yield from descend(tree, fp, radius, level - 1, x[ordered], y[ordered])
 
 
-def forest(bucket: np.ndarray, fp: np.ndarray, more: np.ndarray, node: np.ndarray, radius: int, whole_radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges, as few as connect all rows linked within their bucket."""
+def forest(bucket: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect all rows linked within their bucket: each member with the smallest node of its tree."""
     tree, label = levels(bucket, fp), np.arange(len(fp))
     whole = np.flatnonzero(np.diff(np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))) > 1)
     for i, j in descend(tree, fp, radius, 2, whole, whole):
-        if whole_radius != radius:
-            near = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(more[i] ^ more[j]) <= whole_radius
-            i, j = i[near], j[near]
         while True:
             a, b = label[i], label[j]
             apart = a != b
@@ -166,32 +169,46 @@ def forest(bucket: np.ndarray, fp: np.ndarray, more: np.ndarray, node: np.ndarra
             np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
             while (up := label[label]).tobytes() != label.tobytes():
                 label = up
-    order = np.argsort(label, kind="stable")
-    same = label[order][1:] == label[order][:-1]
-    return node[order[:-1][same]], node[order[1:][same]]
+    least = np.full(len(fp), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, node)
+    centre = least[label]
+    return centre[centre != node], node[centre != node]
 
 
-def links(fps: DataFrame, radius: int, whole_radius: int | None = None) -> DataFrame:
-    """``fps`` (fp, more, node: longs) -> edges (a, b) of nodes that connect all linked fingerprints.
+def blocks_of(free: int, n: int) -> list[int]:
+    """The set bits of a mask, dealt into n masks."""
+    bits = [b for b in range(BITS) if free >> b & 1]
+    return [sum(1 << b for b in bits[len(bits) * i // n : len(bits) * (i + 1) // n]) for i in range(n)]
 
-    Linked are those that differ in ``radius`` bits of fp at most and, if ``whole_radius`` is given, in that
-    many of fp and more together.
-    """
-    wide = whole_radius is not None
-    patterns = masks(fps.count(), radius, CROWD["wide" if wide else "narrow"])
-    node = F.explode(F.array(*(F.struct(F.lit(k).cast("short").alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(patterns))))
-    own = ["fp", "more", "node"] if wide else ["fp", "node"]
-    rows = fps.select(*own, node.alias("m")).select("m.mask", "m.key", *own)
-    large = materialize(rows.groupBy("mask", "key").count().filter(F.col("count") > PART))
+
+def links(fps: DataFrame, radius: int) -> DataFrame:
+    """``fps`` (fp, node: longs) -> edges (a, b) of nodes that connect all that differ in ``radius`` bits at most."""
+    patterns = masks(fps.count(), radius, CROWD)
+    masked = lambda k, m: F.struct(F.lit(k).cast("short").alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key"))
+    rows = fps.select("fp", "node", F.explode(F.array(*(masked(k, m) for k, m in enumerate(patterns)))).alias("m")).select("m.mask", "m.key", "fp", "node")
     keys = ["mask", "key"]
-    if n := large.count():
-        large = large.select("mask", "key", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-        rows = rows.join(F.broadcast(large) if n <= 20_000 else large, keys, "left")
+
+    def crowded(rows):
+        large = materialize(rows.groupBy(*keys).count().filter(F.col("count") > PART))
+        n = large.count()
+        return n, F.broadcast(large) if n <= 20_000 else large
+
+    n, large = crowded(rows)
+    if n:
+        more = F.array(*(F.array(*(F.lit(signed(x)) for x in blocks_of(~m & (1 << BITS) - 1, radius + 1))) for m in patterns))
+        inner = F.transform(F.get(more, F.col("mask").cast("int")), lambda x, i: F.struct(i.cast("short").alias("sub"), F.col("fp").bitwiseAND(x).alias("subkey")))
+        outer = F.array(F.struct(F.lit(-1).cast("short").alias("sub"), F.lit(0).cast("long").alias("subkey")))
+        rows = rows.join(large, keys, "left").withColumn("s", F.explode(F.when(F.col("count").isNull(), outer).otherwise(inner)))
+        rows = rows.select(*keys, "s.sub", "s.subkey", "fp", "node")
+        keys = [*keys, "sub", "subkey"]
+        n, large = crowded(rows)
+    if n:
+        rows = rows.join(large.select(*keys, F.ceil(F.col("count") / PART).cast("int").alias("parts")), keys, "left")
         mine = F.coalesce(F.pmod(F.xxhash64("fp", "node"), F.col("parts")).cast("int"), F.lit(0))
         other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))
         rows = rows.withColumn("mine", mine).withColumn("other", other)
         rows = rows.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
-        keys += ["lo", "hi"]
+        keys = [*keys, "lo", "hi"]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -207,8 +224,7 @@ def links(fps: DataFrame, radius: int, whole_radius: int | None = None) -> DataF
             for s in (1, 2, 4, 8, 16, 32):
                 rank ^= rank >> np.uint64(s)
             order = np.lexsort((rank, bucket))
-            more = table.column("more").to_numpy().view(np.uint64)[order] if wide else fp
-            a, b = forest(bucket[order], fp[order], more, table.column("node").to_numpy()[order], radius, whole_radius if wide else radius)
+            a, b = forest(bucket[order], fp[order], table.column("node").to_numpy()[order], radius)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
@@ -227,35 +243,30 @@ def links(fps: DataFrame, radius: int, whole_radius: int | None = None) -> DataF
         if held:
             yield work(pa.Table.from_batches(held).combine_chunks())
 
-    return rows.select(*keys, *own).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return rows.select(*keys, "fp", "node").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, whole_radius: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """(id, fingerprint string, component_id) for every row: component_id is the smallest id reachable over links.
 
-    Texts without words (null, empty, white space) have fingerprint zero and link as any other; shorter
-    texts than ``words`` are one shingle. Copies share a fingerprint and are linked through it, so hot
-    groups of copies shrink to one row before any pair is looked at. Rows without an id get their group's
-    component, null if no row of their fingerprint has an id. Repeated ids are rows of their own. Other
-    columns are not read; an empty table gives no rows. ``whole_radius``: see links().
+    Ids are whole numbers. Texts without words (null, empty, white space) have fingerprint zero and link as
+    any other; shorter texts than ``words`` are one shingle. Copies share a fingerprint and are linked
+    through it, so hot groups of copies shrink to one row before any pair is looked at. Rows without an id
+    get their group's component, null if no row of their fingerprint has an id. Repeated ids are rows of
+    their own. Other columns are not read; an empty table gives no rows.
     """
-    prints = fingerprints(docs, id_col, text_col, words, whole_radius is not None)
-    prints = materialize(prints.withColumn("print", F.lower(F.concat(F.lpad(F.hex("fp"), 16, "0"), F.lpad(F.hex("more"), 16, "0")))))
-    distinct = materialize(prints.groupBy("print", "fp", "more").agg(F.min("id").cast("long").alias("node"), F.count(F.lit(1)).alias("n")))
-    groups = components(links(distinct.filter("node IS NOT NULL").select("fp", "more", "node"), radius, whole_radius))
-    named = materialize(distinct.join(groups, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"), "n"))
-    return hot_join(prints.select("id", "print"), named, "print", "n", prints.count()).select(
-        F.col("id").alias(id_col), F.substring("print", 1, 16).alias("fingerprint"), F.col("component_id").cast("long").alias("component_id")
+    prints = materialize(fingerprints(docs, id_col, text_col, words))
+    distinct = materialize(prints.groupBy("fp").agg(F.min("id").cast("long").alias("node"), F.count(F.lit(1)).alias("n")))
+    groups = components(links(distinct.filter("node IS NOT NULL").select("fp", "node"), radius))
+    named = materialize(distinct.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "n"))
+    return hot_join(prints.select("id", "fp"), named, "fp", "n", prints.count()).select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id").cast("long").alias("component_id")
     )
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
-    """The distinct shingles' XXH64 (seed 42) in A-Z lower-cased text, sorted: what fingerprint() counts, each once."""
-    from xxhash import xxh64_intdigest as digest
-
-    found = (text or "").encode("utf-8", "replace").lower().split()
-    n = min(words, len(found))
-    return np.array(sorted({digest(b" ".join(found[i : i + n]), 42) for i in range(len(found) - n + 1)} if found else ()), np.uint64)
+    """The distinct hashes of hashes_of(), sorted."""
+    return np.unique(hashes_of(text, words))
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -322,11 +333,14 @@ def verified(sets: DataFrame, keys: list[str], similarity: float) -> DataFrame:
     return sets.select(*keys, "node", "shingles").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def similar_groups(sets: DataFrame, similarity: float) -> DataFrame:
-    """``sets`` (loose, n, node, shingles; n sets in each loose group) -> (node, component) over all similar pairs of a group.
+def similar_groups(sets: DataFrame, ties: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) over all pairs of candidates that are similar.
 
-    Groups of more than GROUP are cut into even parts. Parts are connected inside first, then by one set of
-    each connected piece; only where pieces remain apart are all pairs of parts compared.
+    ``sets`` is (loose, n, node, shingles), n sets in each loose group; ``ties`` (key, node) names the
+    candidates: those that share a key. Groups of more than GROUP are cut into even parts. Parts are
+    connected inside first, then by one set of each connected piece. Where pieces remain apart, all pairs of
+    parts are compared if there are PAIRED at most; in larger groups, under each key, the members outside
+    the key's main piece are compared with all members.
     """
     parts = F.ceil(F.col("n") / GROUP)
     sets = sets.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), parts))
@@ -337,69 +351,90 @@ def similar_groups(sets: DataFrame, similarity: float) -> DataFrame:
 
     def pieces(edges):
         found = large.drop("shingles").join(components(edges), "node", "left")
-        return materialize(found.withColumn("piece", F.coalesce("component", "node")).select("loose", "node", "piece"))
+        return materialize(found.withColumn("piece", F.coalesce("component", "node")).select("loose", "node", "parts", "piece"))
 
     named = pieces(edges)
     firsts = named.filter("node = piece")
     few = firsts.groupBy("loose").count().filter(F.col("count").between(2, 4 * GROUP)).select("loose")
     heads = large.join(firsts.join(few, "loose", "left_semi").select("node"), "node", "left_semi")
     edges = materialize(edges.union(verified(heads, ["loose"], similarity)))
-    apart = materialize(pieces(edges).groupBy("loose").agg(F.min("piece").alias("p"), F.max("piece").alias("q")).filter("p <> q").select("loose"))
-    if not apart.isEmpty():
-        rest = large.join(apart, "loose", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("other <> part")
-        rest = rest.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
-        edges = materialize(edges.union(verified(rest, ["loose", "lo", "hi"], similarity)))
-    return components(edges)
+    named = pieces(edges)
+    apart = materialize(named.groupBy("loose").agg(F.min("piece").alias("p"), F.max("piece").alias("q")).filter("p <> q").select("loose"))
+    if apart.isEmpty():
+        return components(edges)
+    rest = large.filter(F.col("parts") <= PAIRED).join(apart, "loose", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("other <> part")
+    rest = rest.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+    edges = materialize(edges.union(verified(rest, ["loose", "lo", "hi"], similarity)))
+
+    held = named.filter(F.col("parts") > PAIRED).join(apart, "loose", "left_semi")
+    if held.isEmpty():
+        return components(edges)
+    tied = materialize(ties.join(held.select("node", "piece"), "node"))
+    by_piece = tied.groupBy("key", "piece").agg(F.count(F.lit(1)).alias("m"))
+    mixed = by_piece.groupBy("key").agg(F.max_by("piece", F.struct("m", "piece")).alias("main"), F.sum("m").alias("all"), (F.sum("m") - F.max("m")).alias("odd")).filter("odd > 0")
+    mixed = materialize(mixed.select("key", "main", "all", F.ceil(F.col("odd") / GROUP).alias("rows"), F.ceil(F.col("all") / GROUP).alias("cols")))
+    at = hot_join(tied, mixed, "key", "all", tied.count()).filter("main IS NOT NULL")
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = at.select("key", "node", every("rows").alias("row"), mine("cols").alias("col"))
+    strays = at.filter("piece <> main").select("key", "node", mine("rows").alias("row"), every("cols").alias("col"))
+    cells = members.union(strays).distinct().join(large.select("node", "shingles"), "node")
+    return components(materialize(edges.union(verified(cells, ["key", "row", "col"], similarity))))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without those that have a near-duplicate of smaller id: of each group, the smallest id stays.
+    """``docs`` without those that have a near-duplicate of smaller id: of each group exactly one row stays.
 
     Groups are the components over pairs whose exact Jaccard similarity of distinct shingles is
-    ``similarity`` or more. Candidates are the texts connected over shared band keys (see band_keys); all
-    their pairs are compared by their shingles, so no pair below ``similarity`` links, and a pair at 0.8 is
-    no candidate with chance (1 - 0.8**ROWS)**BANDS, under one in a million. Texts with the same shingles
-    shrink to one before that; texts without words are alike. Rows without id stay. Of rows that repeat an
-    id one stays.
+    ``similarity`` or more. Candidates are texts whose fingerprints link in the Gray-order index (RADIUS), or
+    that share a band key (see band_keys); those connected by candidates are compared by their shingles, so
+    no pair below ``similarity`` links, and a pair at 0.8 is no candidate with chance
+    (1 - 0.8**ROWS)**BANDS, under one in a million. Texts with the same shingles shrink to one before that;
+    texts without words are alike. The row of the smallest id stays; rows without id come last, among
+    themselves and among repeated ids any one stays. Columns of any name pass through.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    own = dict(zip(("row", "print", "bands", "fp", "id", "text"), (f"_cairn_{k}" for k in ("row", "print", "bands", "fp", "id", "text")), strict=True))
+    kind, at = docs.schema[id_col].dataType.simpleString(), docs.columns.index(text_col)
 
     def sketch(batches):
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in slices(batch):
-                found = [shingles(t, words) for t in part.column(1).to_pylist()]
-                keys = [band_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([digest_of(s) for s in found], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "print", "bands"])
+            for part in slices(batch, text_col):
+                hashes = [hashes_of(t, words) for t in part.column(at).to_pylist()]
+                found = [np.unique(h) for h in hashes]
+                keys = pa.array([band_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in found], pa.list_(pa.int64()))
+                fps = pa.array(np.array([_majority(h) for h in hashes], np.uint64).view(np.int64))
+                made = [pa.array(row + np.arange(part.num_rows)), pa.array([digest_of(s) for s in found], pa.binary()), keys, fps]
+                row += part.num_rows
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(own[k] for k in ("row", "print", "bands", "fp"))])
 
     def sets_of(batches):
         for batch in batches:
             for part in slices(batch):
                 found = [shingles(t, words) for t in part.column(0).to_pylist()]
-                own = pa.array([digest_of(s) == p for s, p in zip(found, part.column(1).to_pylist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["loose", "n", "node", "shingles"]).filter(own)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["loose", "n", "node", "shingles"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints = materialize(rows.mapInArrow(sketch, f"id {kind}, print binary, bands array<long>"))
-    distinct = prints.filter("id IS NOT NULL").groupBy("print").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    every = materialize(docs.mapInArrow(sketch, with_fields(docs, **{own["row"]: "long", own["print"]: "binary", own["bands"]: "array<long>", own["fp"]: "long"})))
+    rows = every.select(*(F.col(own[k]).alias(k) for k in ("row", "print", "bands", "fp")), F.col(id_col).alias("id"))
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "row")
+    distinct = rows.groupBy("print").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp"))
     distinct = materialize(distinct.withColumn("node", F.xxhash64("print")))
     bands = distinct.select("node", F.explode("bands").alias("key"))
     shared = materialize(bands.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1"))
-    edges = hot_join(bands, shared, "key", "m", distinct.count() * BANDS).filter("first <> node").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    tied = materialize(hot_join(bands, shared, "key", "m", distinct.count() * BANDS).filter("first IS NOT NULL").select("key", "node", "first"))
+    close = materialize(links(distinct.select("fp", "node"), RADIUS).distinct())
+    edges = tied.filter("first <> node").select(F.col("node").alias("a"), F.col("first").alias("b")).union(close.select("a", "b")).distinct()
     loose = components(edges).withColumnRenamed("component", "loose")
     loose = materialize(loose.join(loose.groupBy("loose").agg(F.count(F.lit(1)).alias("n")), "loose"))
-    wanted = materialize(distinct.drop("n", "bands").join(loose, "node").select(F.col("least").alias("id"), "print", "loose", "n", "node"))
-    sets = rows.join(wanted, "id").select("text", "print", "loose", "n", "node").mapInArrow(sets_of, "loose long, n long, node long, shingles array<long>")
-    groups = materialize(similar_groups(materialize(sets), similarity))
-    named = distinct.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("bands", "component")
-    first = named.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = materialize(named.join(first, "group").select("print", "component_id", "n"))
-    member = materialize(hot_join(prints.filter("id IS NOT NULL").select("id", "print"), named, "print", "n", prints.count()).select(F.col("id").alias(id_col), "component_id"))
-    gone = member.filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    again = materialize(member.groupBy(id_col).count().filter("count > 1").select(id_col))
-    if again.isEmpty():
-        return kept
-    return kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns))
+    pair = close.select(F.xxhash64(F.lit("pair"), "a", "b").alias("key"), F.explode(F.array("a", "b")).alias("node"))
+    wanted = materialize(distinct.select("node", F.col("best.row").alias(own["row"])).join(loose, "node"))
+    sets = every.select(own["row"], F.col(text_col).alias("text")).join(wanted, own["row"]).select("text", "loose", "n", "node").mapInArrow(sets_of, "loose long, n long, node long, shingles array<long>")
+    groups = materialize(similar_groups(materialize(sets), tied.select("key", "node").union(pair), similarity))
+    named = distinct.join(groups, "node", "left").select("print", "n", "best", F.coalesce("component", "node").alias("group"))
+    first = named.groupBy("group").agg(F.min("best").alias("first"))
+    named = materialize(named.join(first, "group").select("print", F.col("first.row").alias("first"), "n"))
+    gone = hot_join(rows.select("row", "print"), named, "print", "n", rows.count()).filter(F.col("first") != F.col("row")).select(F.col("row").alias(own["row"]))
+    return every.join(materialize(gone), own["row"], "left_anti").select(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cairn.llm import quality, simhash
+from cairn.llm import quality
 from cairn.llm.common import materialize, read
 from tests.llm.test_secrets import plain as plain_secrets
+from tests.llm.test_simhash import plain_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,23 +28,7 @@ def test_run_against_plain_python(spark):
     trees = quality.fit(docs, read(spark, SF, "labels"))
     kept = {r.doc_id for r in quality.judge(docs, trees).filter("kept").collect()}
     assert step["quality"].keys() == kept
-    texts = step["quality"]
-    ids = sorted(texts)
-    prints = {i: simhash.fingerprint(texts[i], 5, True) for i in ids}
-    group = {i: i for i in ids}
-
-    def root(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    for k, i in enumerate(ids):
-        for j in ids[k + 1 :]:
-            d, e = ((a ^ b).bit_count() for a, b in zip(prints[i], prints[j], strict=True))
-            if d <= simhash.REACH and d + e <= 19:
-                a, b = sorted((root(i), root(j)))
-                group[b] = a
-    assert step["near_duplicates"].keys() == {i for i in ids if root(i) == i}
+    assert step["near_duplicates"].keys() == plain_kept(step["quality"])
     for i, text in step["near_duplicates"].items():
         want, at = "", 0
         for a, _, b in plain_secrets(text):

@@ -54,7 +54,7 @@ def test_links_of_planted_fingerprints(spark, monkeypatch, part):
     base = rng.getrandbits(64)
     x += [base ^ rng.getrandbits(9) for _ in range(200)]
     prints = {i: v for i, v in enumerate(dict.fromkeys(x))}
-    df = spark.createDataFrame([(simhash.signed(v), i) for i, v in prints.items()], "fp long, node long").selectExpr("fp", "0L AS more", "node")
+    df = spark.createDataFrame([(simhash.signed(v), i) for i, v in prints.items()], "fp long, node long")
     from cairn.llm.graph import components
 
     found = {r.node: r.component for r in components(simhash.links(df, 4)).collect()}
@@ -94,6 +94,8 @@ def test_keep_one_nulls_and_repeats(spark):
     rows = [(4, text, "x", 1, 1), (4, text, "x", 1, 1), (2, None, None, None, None), (3, "", "x", 1, 1), (None, "other words here now and then", "x", 1, 1)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted((r.doc_id or 0 for r in simhash.keep_one(df).collect())) == [0, 2, 4]
+    more = spark.createDataFrame([(7, text, "x", 1, 1), (7, "quite another text than the other one", "x", 1, 1), (None, text.upper(), "x", 1, 1), (None, "words without id that stand twice", "x", 1, 1), (None, "words without id that stand twice", "x", 1, 1)], SCHEMA)
+    assert sorted(((r.doc_id or 0, r.text[:5]) for r in simhash.keep_one(more).collect())) == [(0, "words"), (7, "one t"), (7, "quite")]
     assert simhash.keep_one(df).columns == df.columns and simhash.keep_one(df.limit(0)).collect() == []
 
 
@@ -123,9 +125,10 @@ def plain_kept(texts: dict[int, str | None]):
     return {i for i in sets if root(i) == i}
 
 
-@pytest.mark.parametrize("group", [128, 7])
-def test_keep_one_decides_by_exact_similarity(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "paired"), [(128, 64), (7, 64), (7, 2)])
+def test_keep_one_decides_by_exact_similarity(spark, monkeypatch, group, paired):
     monkeypatch.setattr(simhash, "GROUP", group)
+    monkeypatch.setattr(simhash, "PAIRED", paired)
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
     texts = {}
