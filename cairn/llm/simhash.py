@@ -29,11 +29,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import hot_join, materialize, read, slices, with_fields
+from cairn.llm.common import hot_join, materialize, read, slices
 from cairn.llm.graph import components
 
 BITS, FAN = 64, 16
@@ -391,22 +390,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     no pair below ``similarity`` links, and a pair at 0.8 is no candidate with chance
     (1 - 0.8**ROWS)**BANDS, under one in a million. Texts with the same shingles shrink to one before that;
     texts without words are alike. The row of the smallest id stays; rows without id come last, among
-    themselves and among repeated ids any one stays. Columns of any name pass through.
+    themselves and among repeated ids that of the smallest digest. Of rows with equal id and text any one
+    stays. Columns of any name pass through (but ``_cairn_key``); no text leaves Python again.
     """
-    own = dict(zip(("row", "print", "bands", "fp", "id", "text"), (f"_cairn_{k}" for k in ("row", "print", "bands", "fp", "id", "text")), strict=True))
-    kind, at = docs.schema[id_col].dataType.simpleString(), docs.columns.index(text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.md5(F.concat(F.coalesce(F.concat(F.col(id_col).cast("string"), F.lit("|")), F.lit("")), text).cast("binary"))
+    keyed = docs.withColumn("_cairn_key", key)
 
     def sketch(batches):
-        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in slices(batch, text_col):
-                hashes = [hashes_of(t, words) for t in part.column(at).to_pylist()]
+            for part in slices(batch):
+                hashes = [hashes_of(t, words) for t in part.column(2).to_pylist()]
                 found = [np.unique(h) for h in hashes]
                 keys = pa.array([band_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in found], pa.list_(pa.int64()))
                 fps = pa.array(np.array([_majority(h) for h in hashes], np.uint64).view(np.int64))
-                made = [pa.array(row + np.arange(part.num_rows)), pa.array([digest_of(s) for s in found], pa.binary()), keys, fps]
-                row += part.num_rows
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(own[k] for k in ("row", "print", "bands", "fp"))])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([digest_of(s) for s in found], pa.binary()), keys, fps], names=["id", "row", "print", "bands", "fp"])
 
     def sets_of(batches):
         for batch in batches:
@@ -414,8 +413,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                 found = [shingles(t, words) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["loose", "n", "node", "shingles"])
 
-    every = materialize(docs.mapInArrow(sketch, with_fields(docs, **{own["row"]: "long", own["print"]: "binary", own["bands"]: "array<long>", own["fp"]: "long"})))
-    rows = every.select(*(F.col(own[k]).alias(k) for k in ("row", "print", "bands", "fp")), F.col(id_col).alias("id"))
+    rows = keyed.select(F.col(id_col).alias("id"), F.col("_cairn_key").alias("row"), text.alias("text"))
+    rows = materialize(rows.mapInArrow(sketch, f"id {kind}, row string, print binary, bands array<long>, fp long"))
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "row")
     distinct = rows.groupBy("print").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp"))
     distinct = materialize(distinct.withColumn("node", F.xxhash64("print")))
@@ -427,14 +426,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     loose = components(edges).withColumnRenamed("component", "loose")
     loose = materialize(loose.join(loose.groupBy("loose").agg(F.count(F.lit(1)).alias("n")), "loose"))
     pair = close.select(F.xxhash64(F.lit("pair"), "a", "b").alias("key"), F.explode(F.array("a", "b")).alias("node"))
-    wanted = materialize(distinct.select("node", F.col("best.row").alias(own["row"])).join(loose, "node"))
-    sets = every.select(own["row"], F.col(text_col).alias("text")).join(wanted, own["row"]).select("text", "loose", "n", "node").mapInArrow(sets_of, "loose long, n long, node long, shingles array<long>")
-    groups = materialize(similar_groups(materialize(sets), tied.select("key", "node").union(pair), similarity))
+    again = materialize(rows.groupBy("row").count().filter("count > 1").select(F.col("row").alias("_cairn_key")))
+    some_again = not again.isEmpty()
+    wanted = materialize(distinct.select("node", F.col("best.row").alias("_cairn_key")).join(loose, "node"))
+    texts = keyed.select("_cairn_key", text.alias("text")).join(wanted, "_cairn_key")
+    texts = texts.dropDuplicates(["_cairn_key"]) if some_again else texts
+    sets = materialize(texts.select("text", "loose", "n", "node").mapInArrow(sets_of, "loose long, n long, node long, shingles array<long>"))
+    groups = materialize(similar_groups(sets, tied.select("key", "node").union(pair), similarity))
     named = distinct.join(groups, "node", "left").select("print", "n", "best", F.coalesce("component", "node").alias("group"))
     first = named.groupBy("group").agg(F.min("best").alias("first"))
     named = materialize(named.join(first, "group").select("print", F.col("first.row").alias("first"), "n"))
-    gone = hot_join(rows.select("row", "print"), named, "print", "n", rows.count()).filter(F.col("first") != F.col("row")).select(F.col("row").alias(own["row"]))
-    return every.join(materialize(gone), own["row"], "left_anti").select(*docs.columns)
+    gone = hot_join(rows.select("row", "print"), named, "print", "n", rows.count()).filter(F.col("first") != F.col("row")).select(F.col("row").alias("_cairn_key"))
+    kept = keyed.join(materialize(gone), "_cairn_key", "left_anti")
+    if some_again:
+        kept = kept.join(again, "_cairn_key", "left_anti").unionByName(kept.join(again, "_cairn_key", "left_semi").dropDuplicates(["_cairn_key"]))
+    return kept.select(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
