@@ -7,7 +7,7 @@ Arrow functions; s2_cell_id() gives the Hilbert id of the library for exchange w
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,16 +78,82 @@ def beside(key, di: int, dj: int, level: int) -> np.ndarray:
     return out
 
 
-def block(key, level: int) -> list[list[int]]:
-    """Own cell and its neighbours (8; 7 at a corner of the cube), each once, in the order of OFFSETS."""
-    return [list(dict.fromkeys(row)) for row in np.stack([beside(key, a, b, level) for a, b in OFFSETS], 1).tolist()]
+def block(key, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Own cells and their neighbours (8; 7 at a corner of the cube), each once, in the order of OFFSETS; and how many."""
+    every = np.stack([beside(key, a, b, level) for a, b in OFFSETS], 1)
+    first = np.ones(every.shape, bool)
+    for k in range(1, every.shape[1]):
+        first[:, k] = (every[:, :k] != every[:, k : k + 1]).all(1)
+    return every[first], first.sum(1)
+
+
+def _on_faces(a, b):
+    """(line, face, u0, v0, u1, v1) of each part of the chords from a to b that is seen from a face of the cube.
+
+    A point is a face's if no other of its coordinates outweighs the face's own: four bounds on the place t
+    along the chord, each of them linear.
+    """
+    parts = []
+    for face in range(6):
+        axis, sign = face % 3, 1 - 2 * (face // 3)
+        low, high = np.zeros_like(a[0]), np.ones_like(a[0])
+        for k in {0, 1, 2} - {axis}:
+            for side in (1, -1):
+                g0, g1 = (sign * p[axis] + side * p[k] for p in (a, b))
+                meet = -g0 / np.where(g1 == g0, 1, g1 - g0)
+                low = np.where(g1 > g0, np.maximum(low, meet), low)
+                high = np.where(g1 < g0, np.minimum(high, meet), np.where((g1 == g0) & (g0 < 0), -1, high))
+        line = np.flatnonzero(low <= high)
+        ends = []
+        for t in (low[line], high[line]):
+            x, y, z = (p[line] * (1 - t) + q[line] * t for p, q in zip(a, b, strict=True))
+            main = np.maximum((x, y, z)[axis] * sign, 1e-300)
+            ends += [(y, -x, -x, -z, -z, y)[face] / main, (z, z, -y, -y, x, x)[face] / main]
+        parts.append((line, np.full(len(line), face), *ends))
+    return [np.concatenate(p) for p in zip(*parts, strict=True)]
+
+
+def under(lat0, lon0, lat1, lon1, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, cell) for every cell that a geodesic segment passes through; a cell may come twice.
+
+    On a face's plane geodesics are straight, and so are the borders of cells: a segment is cut where it
+    meets the borders between its ends, and each piece lies in the cell of its middle. Segments between
+    faces are cut into their parts on each.
+    """
+    a, b = xyz_of(lat0, lon0), xyz_of(lat1, lon1)
+    face, u0, v0 = face_uv(*a)
+    other, u1, v1 = face_uv(*b)
+    seg = np.arange(len(face))
+    if (apart := face != other).any():
+        line, *rest = _on_faces(*([c[apart] for c in p] for p in (a, b)))
+        own = (seg, face, u0, v0, u1, v1)
+        seg, face, u0, v0, u1, v1 = (np.concatenate([x[~apart], y]) for x, y in zip(own, (seg[apart][line], *rest), strict=True))
+    n = 1 << level
+    at = lambda c: np.clip(np.floor(quadratic(c) * n).astype(np.int64), 0, n - 1)
+    whose, where = [np.arange(len(seg))] * 2, [np.zeros(len(seg)), np.ones(len(seg))]
+    for c0, c1 in ((u0, u1), (v0, v1)):
+        low, high = np.minimum(at(c0), at(c1)), np.maximum(at(c0), at(c1))
+        line = np.repeat(np.arange(len(seg)), high - low)
+        border = np.arange(len(line)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[line] + 1
+        whose.append(line)
+        where.append(np.clip((unquadratic(border / n) - c0[line]) / (c1 - c0)[line], 0, 1))
+    whose, where = np.concatenate(whose), np.concatenate(where)
+    order = np.lexsort((where, whose))
+    whose, where = whose[order], where[order]
+    inner = (whose[1:] == whose[:-1]) & (where[1:] - where[:-1] > 1e-12)
+    line, middle = whose[:-1][inner], ((where[1:] + where[:-1]) / 2)[inner]
+    i, j = at(u0[line] + middle * (u1 - u0)[line]), at(v0[line] + middle * (v1 - v0)[line])
+    return seg[line], pack(face[line], i, j, level)
+
+
+def unquadratic(s):
+    """Where a part of a face's edge lies on the projected face."""
+    return np.where(s >= 0.5, (4 * s * s - 1) / 3, (1 - 4 * (1 - s) * (1 - s)) / 3)
 
 
 def centre(key, level: int):
     face, i, j = unpack(np.asarray(key, np.int64), level)
-    s, t = (i + 0.5) / (1 << level), (j + 0.5) / (1 << level)
-    back = lambda s: np.where(s >= 0.5, (4 * s * s - 1) / 3, (1 - 4 * (1 - s) * (1 - s)) / 3)
-    x, y, z = xyz_from_face(face, back(s), back(t))
+    x, y, z = xyz_from_face(face, *(unquadratic((c + 0.5) / (1 << level)) for c in (i, j)))
     return np.degrees(np.arctan2(z, np.hypot(x, y))), np.degrees(np.arctan2(y, x))
 
 
@@ -108,53 +174,50 @@ def hilbert(key, level: int) -> np.ndarray:
         return (face.astype(np.uint64) << np.uint64(61) | (at.astype(np.uint64) << np.uint64(low + 1)) | np.uint64(1 << low)).view(np.int64)
 
 
-def _on(valid, make, *cols):
-    out = pd.Series([None] * len(valid), dtype=object)
-    if valid.any():
-        out[np.flatnonzero(valid)] = pd.Series(make(*(c[valid].to_numpy(float) for c in cols)), index=np.flatnonzero(valid), dtype=object)
-    return out
-
-
-def _fine(lat: pd.Series, lon: pd.Series):
-    return (np.isfinite(lat.astype(float)) & np.isfinite(lon.astype(float))).to_numpy()
+def _points(lat: pa.Array, lon: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coordinates, with zeros where one is missing or not finite, and where that is so."""
+    lat, lon = (np.asarray(c.to_numpy(zero_copy_only=False), float) for c in (lat, lon))  # null: not a number
+    bad = ~(np.isfinite(lat) & np.isfinite(lon))
+    return np.where(bad, 0, lat), np.where(bad, 0, lon), bad
 
 
 def cell(lat: Column, lon: Column, level: int = STREET_LEVEL) -> Column:
     """Key of the cell that holds the point; null for missing or non-finite coordinates."""
 
-    def run(lat: pd.Series, lon: pd.Series) -> pd.Series:
-        fine = _fine(lat, lon)
-        k = keys(np.where(fine, lat, 0), np.where(fine, lon, 0), level)
-        return pd.Series(pd.array(k, "Int64")).mask(~fine)
+    def run(lat: pa.Array, lon: pa.Array) -> pa.Array:
+        lat, lon, bad = _points(lat, lon)
+        return pa.array(keys(lat, lon, level), mask=bad)
 
-    return F.pandas_udf(run, "long")(lat.cast("double"), lon.cast("double"))
+    return F.arrow_udf(run, "long")(lat.cast("double"), lon.cast("double"))
 
 
 def cells_around(lat: Column, lon: Column, level: int = STREET_LEVEL) -> Column:
-    """array<long>: own cell and neighbours."""
+    """array<long>: own cell and neighbours; null for missing or non-finite coordinates."""
 
-    def run(lat: pd.Series, lon: pd.Series) -> pd.Series:
-        return _on(_fine(lat, lon), lambda a, b: block(keys(a, b, level), level), lat, lon)
+    def run(lat: pa.Array, lon: pa.Array) -> pa.Array:
+        lat, lon, bad = _points(lat, lon)
+        flat, n = block(keys(lat, lon, level), level)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(flat), mask=pa.array(bad))
 
-    return F.pandas_udf(run, "array<long>")(lat.cast("double"), lon.cast("double"))
+    return F.arrow_udf(run, "array<long>")(lat.cast("double"), lon.cast("double"))
 
 
 def s2_cell_id(lat: Column, lon: Column, level: int = STREET_LEVEL) -> Column:
-    def run(lat: pd.Series, lon: pd.Series) -> pd.Series:
-        fine = _fine(lat, lon)
-        return pd.Series(pd.array(hilbert(keys(np.where(fine, lat, 0), np.where(fine, lon, 0), level), level), "Int64")).mask(~fine)
+    def run(lat: pa.Array, lon: pa.Array) -> pa.Array:
+        lat, lon, bad = _points(lat, lon)
+        return pa.array(hilbert(keys(lat, lon, level), level), mask=bad)
 
-    return F.pandas_udf(run, "long")(lat.cast("double"), lon.cast("double"))
+    return F.arrow_udf(run, "long")(lat.cast("double"), lon.cast("double"))
 
 
 def cell_centre(key: Column, level: int = STREET_LEVEL) -> Column:
-    """struct<lat, lon> of the cell's centre."""
+    """struct<lat, lon> of the cell's centre; null for a missing key."""
 
-    def run(key: pd.Series) -> pd.DataFrame:
-        lat, lon = centre(key.to_numpy(np.int64), level)
-        return pd.DataFrame({"lat": lat, "lon": lon})
+    def run(key: pa.Array) -> pa.Array:
+        lat, lon = centre(key.fill_null(0).to_numpy(), level)
+        return pa.StructArray.from_arrays([pa.array(lat), pa.array(lon)], names=["lat", "lon"], mask=key.is_null())
 
-    return F.pandas_udf(run, "lat double, lon double")(key)
+    return F.arrow_udf(run, "lat double, lon double")(key)
 
 
 def probes(points: DataFrame, level: int = STREET_LEVEL) -> DataFrame:
@@ -162,23 +225,28 @@ def probes(points: DataFrame, level: int = STREET_LEVEL) -> DataFrame:
     return points.select("*", F.posexplode(cells_around(F.col("lat"), F.col("lon"), level)).alias("probe_rank", "cell"))
 
 
-def cells_of_line(nodes: Column, level: int = STREET_LEVEL, steps: int = 16) -> Column:
-    """array<long>: cells under a polyline, sampled ``steps`` times a cell's width or more densely, each once."""
-    width = 90.0 / (1 << level)
+def vertices(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of an array<struct<lat, lon>>: where each list begins and the last ends, and all coordinates."""
+    flat = lines.flatten()
+    n = np.asarray(lines.value_lengths().fill_null(0))
+    lat, lon = (np.asarray(flat.field(c).to_numpy(zero_copy_only=False), float) for c in ("lat", "lon"))
+    return np.append(0, np.cumsum(n)), lat, lon
+
 
-    def one(line) -> list[int]:
-        lat, lon = np.array([p["lat"] for p in line], float), np.array([p["lon"] for p in line], float)
-        if len(lat) == 1:
-            return keys(lat, lon, level).tolist()
-        parts = []
-        for k in range(len(lat) - 1):
-            span = max(abs(lat[k + 1] - lat[k]), abs(lon[k + 1] - lon[k]))
-            n = steps * max(1, int(np.ceil(span / width)))
-            t = np.arange(n + 1) / n
-            parts.append(keys(lat[k] + t * (lat[k + 1] - lat[k]), lon[k] + t * (lon[k + 1] - lon[k]), level))
-        return np.unique(np.concatenate(parts)).tolist() if parts else []
+def cells_of_line(nodes: Column, level: int = STREET_LEVEL) -> Column:
+    """array<long>: the cells that a polyline passes through, each once. One point is a line of its own."""
 
-    def run(nodes: pd.Series) -> pd.Series:
-        return pd.Series([None if line is None else one(line) for line in nodes], dtype=object)
+    def run(lines: pa.Array) -> pa.Array:
+        at, lat, lon = vertices(lines)
+        n = np.diff(at)
+        of = np.repeat(np.arange(len(n)), n)
+        last = np.zeros(len(of), bool)
+        last[at[1:][n > 1] - 1] = True
+        begin = np.flatnonzero(~last)
+        end = begin + (n[of[begin]] > 1)
+        seg, cell = under(lat[begin], lon[begin], lat[end], lon[end], level)
+        found = np.unique(np.stack([of[begin][seg], cell], 1), axis=0) if len(seg) else np.zeros((0, 2), np.int64)
+        starts = np.searchsorted(found[:, 0], np.arange(len(n) + 1))
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(found[:, 1]), mask=lines.is_null())
 
-    return F.pandas_udf(run, "array<long>")(nodes)
+    return F.arrow_udf(run, "array<long>")(nodes)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,16 +38,8 @@ def polygon(ring: np.ndarray, level: int = cells.ADMIN_LEVEL) -> list[tuple[int,
     ring = ring[np.append(True, (np.diff(ring, axis=0) != 0).any(1))] if len(ring) else ring
     if len(ring) < 3 or len(np.unique(ring, axis=0)) < len(ring) or crossing(np.vstack([ring, ring[:1]])):
         return []
-    width, edge = 90.0 / (1 << level), []
-    for p, q in zip(ring, np.roll(ring, -1, axis=0), strict=True):
-        n = 16 * max(1, int(np.ceil(np.abs(q - p).max() / width)))
-        t = np.arange(n + 1) / n
-        k = cells.keys(p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1]), level)
-        # a diagonal step may clip either cell beside it
-        (f0, i0, j0), (f1, i1, j1) = cells.unpack(k[:-1], level), cells.unpack(k[1:], level)
-        cut = (f0 == f1) & (i0 != i1) & (j0 != j1)
-        edge += [k, cells.pack(f0, i0, j1, level)[cut], cells.pack(f0, i1, j0, level)[cut]]
-    outline = np.unique(np.concatenate(edge))
+    after = np.roll(ring, -1, axis=0)
+    outline = np.unique(cells.under(ring[:, 0], ring[:, 1], after[:, 0], after[:, 1], level)[1])
     seen, wave, held = set(outline.tolist()), outline, []
     while len(wave):
         near = np.unique(np.concatenate([cells.beside(wave, a, b, level) for a, b in cells.OFFSETS[1:]]))
@@ -63,8 +55,11 @@ def polygon(ring: np.ndarray, level: int = cells.ADMIN_LEVEL) -> list[tuple[int,
 def cells_of_polygon(vertices: Column, level: int = cells.ADMIN_LEVEL) -> Column:
     """array<struct<cell, is_interior>>."""
 
-    def run(vertices: pd.Series) -> pd.Series:
-        rings = (None if v is None else np.array([(p["lat"], p["lon"]) for p in v], float).reshape(-1, 2) for v in vertices)
-        return pd.Series([None if r is None else [{"cell": k, "is_interior": i} for k, i in polygon(r, level)] for r in rings], dtype=object)
+    def run(rings: pa.Array) -> pa.Array:
+        at, lat, lon = cells.vertices(rings)
+        found = [polygon(np.stack([lat[a:b], lon[a:b]], 1), level) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        flat = [c for f in found for c in f]
+        made = pa.StructArray.from_arrays([pa.array([k for k, _ in flat], pa.int64()), pa.array([i for _, i in flat], pa.bool_())], names=["cell", "is_interior"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(f) for f in found])), pa.int32()), made, mask=rings.is_null())
 
-    return F.pandas_udf(run, "array<struct<cell:long,is_interior:boolean>>")(vertices)
+    return F.arrow_udf(run, "array<struct<cell:long,is_interior:boolean>>")(vertices)

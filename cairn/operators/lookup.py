@@ -31,15 +31,19 @@ def _cos():
     return F.cos(F.radians("lat"))
 
 
+def _best(hits: DataFrame, answer, key: str, within: float | None) -> DataFrame:
+    """Each point's nearest hit, if it lies ``within``. The limit is applied to the one that is found: before the
+    search it would be the distance once more, for every candidate."""
+    found = hits.groupBy("qid").agg(F.min_by(answer, F.struct("dist", "probe_rank", key)).alias("b")).select("qid", "b.*")
+    return found if within is None else found.filter(F.col("dist") < within)
+
+
 def nearest_address(points: DataFrame, addr_cells: DataFrame, within: float | None = None, level: int = cells.STREET_LEVEL) -> DataFrame:
     """(qid, dist, addr_id, housenumber, street): the nearest of ``addr_cells`` (cell, addr_id, lat, lon, housenumber, street)."""
     a = addr_cells.select("cell", "addr_id", F.col("lat").cast("double").alias("alat"), F.col("lon").cast("double").alias("alon"), "housenumber", "street")
     hits = cells.probes(points.select("qid", "lat", "lon"), level).join(a, "cell")
     hits = hits.withColumn("dist", dist_sq(F.col("alat") - F.col("lat"), F.col("alon") - F.col("lon"), _cos()))
-    if within is not None:
-        hits = hits.filter(F.col("dist") < within)
-    best = F.min_by(F.struct("dist", "addr_id", "housenumber", "street"), F.struct("dist", "probe_rank", "addr_id"))
-    return hits.groupBy("qid").agg(best.alias("b")).select("qid", "b.*")
+    return _best(hits, F.struct("dist", "addr_id", "housenumber", "street"), "addr_id", within)
 
 
 def _lines(points: DataFrame, line_cells: DataFrame, ways: DataFrame, key: str, level: int) -> DataFrame:
@@ -62,10 +66,7 @@ def nearest_street(points: DataFrame, street_cells: DataFrame, street_ways: Data
     hits = probed.join(street_cells.select("cell", "way_id").join(ways, "way_id"), "cell")
     hits = hits.select("qid", "lat", "lon", "cos", "probe_rank", "way_id", "name", F.explode("segs").alias("s"))
     hits = hits.withColumn("dist", to_segment(F.col("lat"), F.col("lon"), F.col("cos"), F.col("s.a"), F.col("s.b"))["dist"])
-    if within is not None:
-        hits = hits.filter(F.col("dist") < within)
-    best = F.min_by(F.struct("dist", "way_id", "name"), F.struct("dist", "probe_rank", "way_id"))
-    return hits.groupBy("qid").agg(best.alias("b")).select("qid", "b.*")
+    return _best(hits, F.struct("dist", "way_id", "name"), "way_id", within)
 
 
 def nearest_interpolation(points: DataFrame, interp_cells: DataFrame, interp_ways: DataFrame, within: float | None = None, level: int = cells.STREET_LEVEL) -> DataFrame:
@@ -82,10 +83,7 @@ def nearest_interpolation(points: DataFrame, interp_cells: DataFrame, interp_way
     along = (add(F.slice("sizes", F.lit(1), F.col("near.seg"))) + F.col("near.t") * F.get("sizes", F.col("near.seg"))) / F.col("whole")
     number = interpolated(F.col("start_number"), F.col("end_number"), along, F.col("interpolation"))
     hits = hits.withColumn("dist", F.col("near.dist")).withColumn("number", number)
-    if within is not None:
-        hits = hits.filter(F.col("dist") < within)
-    best = F.min_by(F.struct("dist", "interp_id", "street", "number"), F.struct("dist", "probe_rank", "interp_id"))
-    return hits.groupBy("qid").agg(best.alias("b")).select("qid", "b.*")
+    return _best(hits, F.struct("dist", "interp_id", "street", "number"), "interp_id", within)
 
 
 def containing(points: DataFrame, admin_cells: DataFrame, polygons: DataFrame, semantics: str = "reference", level: int = cells.ADMIN_LEVEL) -> DataFrame:
@@ -95,18 +93,19 @@ def containing(points: DataFrame, admin_cells: DataFrame, polygons: DataFrame, s
     bounding box, then by the even-odd rule. A cell that lies inside a polygon needs no test: any cell around
     the point in "reference" mode, the own one only in "corrected" mode.
     """
-    inner = admin_cells.filter("is_interior").select("cell", "poly_id")
     own = points.select("qid", "lat", "lon", cells.cell(F.col("lat"), F.col("lon"), level).alias("cell"))
+    # What the answer needs of a polygon travels with its postings, so no key is met by all points of a country.
+    kept = ["poly_id", "name", "admin_level", "area", "country_code"]
+    posted = admin_cells.select("cell", "poly_id", "is_interior").join(polygons.select(*kept), "poly_id")
     boxed = polygons.select("poly_id", "vertices")
     for name, least, axis in (("lat0", F.array_min, "lat"), ("lat1", F.array_max, "lat"), ("lon0", F.array_min, "lon"), ("lon1", F.array_max, "lon")):
         boxed = boxed.withColumn(name, least(F.col("vertices")[axis]))
     y, x = F.col("lat").cast("float"), F.col("lon").cast("float")
     near = y.between(F.col("lat0"), F.col("lat1")) & x.between(F.col("lon0"), F.col("lon1"))
-    tested = own.join(admin_cells.filter("NOT is_interior").select("cell", "poly_id"), "cell").join(boxed, "poly_id").filter(near).filter(in_polygon(F.col("lat"), F.col("lon"), F.col("vertices")))
+    tested = own.join(posted.filter("NOT is_interior"), "cell").join(boxed, "poly_id").filter(near).filter(in_polygon(F.col("lat"), F.col("lon"), F.col("vertices")))
     around = cells.probes(points.select("qid", "lat", "lon"), level) if semantics == "reference" else own
-    sure = around.join(inner, "cell")
-    held = tested.select("qid", "poly_id").unionByName(sure.select("qid", "poly_id")).distinct()
-    return held.join(polygons.select("poly_id", "name", "admin_level", "area", "country_code"), "poly_id").select("qid", "poly_id", "name", "admin_level", "area", "country_code")
+    sure = around.join(posted.filter("is_interior"), "cell")
+    return tested.select("qid", *kept).unionByName(sure.select("qid", *kept)).dropDuplicates(["qid", "poly_id"])
 
 
 def smallest_per_level(held: DataFrame) -> DataFrame:

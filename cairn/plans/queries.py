@@ -94,6 +94,27 @@ def _cells(src: str, level: int) -> dict[str, str]:
     }
 
 
+def _crossed(src: str, out: str, keys: list[str], parts: list[str], level: int) -> dict[str, str]:
+    """CTE ``out`` (cell, keys): the cells that the segments ``src`` (keys, parts, y1, x1, y2, x2) pass through.
+
+    All fixture lines lie on face 0, on whose plane (y/x, z/x) geodesics and borders of cells are straight:
+    the borders between a segment's ends cut it, and the middles of its pieces name the cells.
+    """
+    n = 1 << level
+    every = ", ".join(keys + parts)
+    st = lambda c: f"CASE WHEN {c} >= 0 THEN 0.5 * sqrt(1 + 3 * {c}) ELSE 1 - 0.5 * sqrt(1 - 3 * {c}) END"
+    ij = lambda c: f"CAST(floor(({st(c)}) * {n}) AS BIGINT)"
+    border = f"CASE WHEN 2 * k >= {n} THEN (4 * (k / {n}.0::DOUBLE) ** 2 - 1) / 3 ELSE (1 - 4 * (1 - k / {n}.0::DOUBLE) ** 2) / 3 END"
+    ends = lambda a, b: f"unnest(range(LEAST({ij(a)}, {ij(b)}) + 1, GREATEST({ij(a)}, {ij(b)}) + 1)) AS k"
+    cut = lambda a, b: f"SELECT {every}, u0, v0, u1, v1, ({border} - {a}) / ({b} - {a}) AS t FROM (SELECT *, {ends(a, b)} FROM {out}_uv)"
+    return {
+        f"{out}_uv": f"SELECT {every}, tan(radians(x1)) AS u0, tan(radians(y1)) / cos(radians(x1)) AS v0, tan(radians(x2)) AS u1, tan(radians(y2)) / cos(radians(x2)) AS v1 FROM {src}",
+        f"{out}_cuts": f"SELECT {every}, u0, v0, u1, v1, 0.0::DOUBLE AS t FROM {out}_uv UNION ALL SELECT {every}, u0, v0, u1, v1, 1.0::DOUBLE FROM {out}_uv UNION ALL {cut('u0', 'u1')} UNION ALL {cut('v0', 'v1')}",
+        f"{out}_mids": f"SELECT {every}, u0 + (t + t2) / 2 * (u1 - u0) AS u, v0 + (t + t2) / 2 * (v1 - v0) AS v FROM (SELECT *, LEAD(t) OVER (PARTITION BY {every} ORDER BY t) AS t2 FROM {out}_cuts) WHERE t2 - t > 1e-12",
+        out: f"SELECT DISTINCT {ij('u')} * {n} + {ij('v')} AS cell, {', '.join(keys)} FROM {out}_mids",
+    }
+
+
 _N = 1 << cells.STREET_LEVEL
 _CTE |= _cells("addresses", 17) | _cells("points", 17)
 _CTE["probe"] = f"SELECT qid, lat, lon, k AS probe_rank, cell + di * {_N} + dj AS cell FROM points_c CROSS JOIN (VALUES " + ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(cells.OFFSETS)) + ") AS o(k, di, dj)"
@@ -102,9 +123,7 @@ _CTE["addr_hits"] = "SELECT qid, probe_rank, addr_id, housenumber, street, " + _
 _CTE["addr_best"] = "SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY dist, probe_rank, addr_id) AS r FROM addr_hits) WHERE r = 1"
 for _kind, _key in (("street", "way_id"), ("interp", "interp_id")):
     _CTE[f"{_kind}_segs"] = f"SELECT a.{_key}, a.pos AS seg, a.lat::DOUBLE AS y1, a.lon::DOUBLE AS x1, b.lat::DOUBLE AS y2, b.lon::DOUBLE AS x2 FROM {_kind}_nodes a JOIN {_kind}_nodes b ON a.{_key} = b.{_key} AND b.pos = a.pos + 1"
-    _CTE[f"{_kind}_samples"] = f"SELECT {_key}, y1 + k / s * (y2 - y1) AS lat, x1 + k / s * (x2 - x1) AS lon FROM (SELECT *, 16.0::DOUBLE * GREATEST(1, ceil(GREATEST(abs(y2 - y1), abs(x2 - x1)) / (90.0::DOUBLE / {_N}))) AS s FROM {_kind}_segs) CROSS JOIN (SELECT range::DOUBLE AS k FROM range(0, 400)) WHERE k <= s"
-    _CTE |= _cells(f"{_kind}_samples", 17)
-    _CTE[f"{_kind}_cells"] = f"SELECT DISTINCT cell, {_key} FROM {_kind}_samples_c"
+    _CTE |= _crossed(f"{_kind}_segs", f"{_kind}_cells", [_key], ["seg"], cells.STREET_LEVEL)
     _CTE[f"{_kind}_pairs"] = f"SELECT qid, lat, lon, {_key}, MIN(probe_rank) AS probe_rank FROM probe JOIN {_kind}_cells USING (cell) GROUP BY ALL"
     _CTE[f"{_kind}_t"] = f"SELECT *, CASE WHEN (y2-y1)*(y2-y1)+(x2-x1)*(x2-x1) = 0 THEN 0 ELSE GREATEST(0, LEAST(1, ((lat-y1)*(y2-y1)+(lon-x1)*(x2-x1)) / ((y2-y1)*(y2-y1)+(x2-x1)*(x2-x1)))) END AS t FROM {_kind}_pairs JOIN {_kind}_segs USING ({_key})"
     _CTE[f"{_kind}_d"] = f"SELECT *, {_DIST.format('lat - (y1 + t * (y2 - y1))', 'lon - (x1 + t * (x2 - x1))')} AS dist, {_DIST.format('y2 - y1', 'x2 - x1')} AS len FROM {_kind}_t"
@@ -160,7 +179,7 @@ def _sql(select: str, **more: str) -> str:
     own, seen = _CTE | more | {"_": select}, {}
     _needs("_", seen, own)
     parts = [f"{n} AS ({own[n]})" for n in seen if n != "_"]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + select
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + select
 
 
 def query(name: str, select: str | None = None, **more: str):
@@ -224,12 +243,34 @@ def _(s, d):
     return cells.probes(points(s, d)).select("qid", "probe_rank", "cell")
 
 
-@query("cell_neighbors", None)
+_STEP_UV = "LEAST(1 + pow(2, -50), GREATEST(-1 - pow(2, -50), (2 * {0} + 1) / 8.0::DOUBLE - 1))"
+_BESIDE = _cells("world", 3) | {
+    "steps": "SELECT id, k, (cell // 64) AS f, (cell // 8) % 8 + di AS i, cell % 8 + dj AS j FROM world_c CROSS JOIN (VALUES " + ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(cells.OFFSETS)) + ") AS o(k, di, dj)",
+    "planes": f"SELECT *, {_STEP_UV.format('i')} AS u, {_STEP_UV.format('j')} AS v FROM steps",
+    "solid": "SELECT *, CASE f WHEN 0 THEN 1 WHEN 3 THEN -1 WHEN 4 THEN v WHEN 5 THEN v ELSE -u END AS x, CASE f WHEN 0 THEN u WHEN 1 THEN 1 WHEN 4 THEN -1 WHEN 5 THEN u ELSE -v END AS y, CASE f WHEN 2 THEN 1 WHEN 3 THEN -u WHEN 4 THEN -u WHEN 5 THEN -1 ELSE v END AS z FROM planes",
+    "faced": "SELECT *, CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(z) THEN CASE WHEN x < 0 THEN 3 ELSE 0 END WHEN abs(y) >= abs(z) THEN CASE WHEN y < 0 THEN 4 ELSE 1 END ELSE CASE WHEN z < 0 THEN 5 ELSE 2 END END AS g FROM solid",
+    "landed": "SELECT id, k, f, i, j, g, CASE g WHEN 0 THEN y / x WHEN 1 THEN -x / y WHEN 2 THEN -x / z WHEN 3 THEN z / x WHEN 4 THEN z / y ELSE -y / z END AS s, CASE g WHEN 0 THEN z / x WHEN 1 THEN z / y WHEN 2 THEN -y / z WHEN 3 THEN y / x WHEN 4 THEN -x / y ELSE -x / z END AS t FROM faced",
+    "beside": "SELECT id, k, CASE WHEN i BETWEEN 0 AND 7 AND j BETWEEN 0 AND 7 THEN f * 64 + i * 8 + j ELSE g * 64 + LEAST(7, GREATEST(0, CAST(floor(4 * (s + 1)) AS BIGINT))) * 8 + LEAST(7, GREATEST(0, CAST(floor(4 * (t + 1)) AS BIGINT))) END AS cell FROM landed",
+    "once": "SELECT id, cell, MIN(k) AS k FROM beside GROUP BY id, cell",
+}
+
+
+@query("cell_neighbors", "SELECT id, ROW_NUMBER() OVER (PARTITION BY id ORDER BY k) - 1 AS probe_rank, cell FROM once", **_BESIDE)
 def _(s, d):
     return cells.probes(fx.load(s, d, "world"), 3).select("id", "probe_rank", "cell")
 
 
-@query("s2_cell_id", None)
+# The curve: of 17 steps each names a quarter by its bits and the turn so far, and turns on. Fixed values, as in cells.
+_CURVE = _cells("world", 17) | {
+    "curve": """SELECT id, cell // 17179869184 AS face, (cell // 131072) % 131072 AS i, cell % 131072 AS j, 16 AS bit, 0::HUGEINT AS place, (cell // 17179869184) % 2 AS turn FROM world_c
+        UNION ALL SELECT id, face, i, j, bit - 1, place * 4 + ([[0, 1, 3, 2], [0, 3, 1, 2], [2, 3, 1, 0], [2, 1, 3, 0]])[turn + 1][q + 1],
+            xor(turn, ([1, 0, 0, 3])[([[0, 1, 3, 2], [0, 3, 1, 2], [2, 3, 1, 0], [2, 1, 3, 0]])[turn + 1][q + 1] + 1])
+        FROM (SELECT *, 2 * ((i >> bit) & 1) + ((j >> bit) & 1) AS q FROM curve WHERE bit >= 0)""",
+    "ids": "SELECT id, face * 2305843009213693952::HUGEINT + place * 134217728 + 67108864 AS n FROM curve WHERE bit = -1",
+}
+
+
+@query("s2_cell_id", "SELECT id, CAST(CASE WHEN n > 9223372036854775807 THEN n - 18446744073709551616 ELSE n END AS BIGINT) AS s2_id FROM ids", **_CURVE)
 def _(s, d):
     return fx.load(s, d, "world").select("id", cells.s2_cell_id(F.col("lat"), F.col("lon")).alias("s2_id"))
 
@@ -401,7 +442,17 @@ def _(s, d):
     return index.line_cells(streets(s, d), "way_id").select("way_id", "cell")
 
 
-@query("cover_polygon", None)
+_COVER = {"sides": "SELECT poly_id, pos, jlat::DOUBLE AS y1, jlon::DOUBLE AS x1, lat::DOUBLE AS y2, lon::DOUBLE AS x2 FROM ring"} | _crossed("sides", "outline", ["poly_id"], ["pos"], 13)
+_COVER |= {
+    "boxed": "SELECT poly_id, unnest(range(MIN(cell // 8192), MAX(cell // 8192) + 1)) AS i, MIN(cell % 8192) AS j0, MAX(cell % 8192) AS j1 FROM outline GROUP BY poly_id",
+    "grid": "SELECT poly_id, i * 8192 + j AS cell, (i + 0.5) / 8192.0::DOUBLE AS s, (j + 0.5) / 8192.0::DOUBLE AS t FROM (SELECT poly_id, i, unnest(range(j0, j1 + 1)) AS j FROM boxed)",
+    "middle": "SELECT poly_id, cell, degrees(atan(CASE WHEN s >= 0.5 THEN (4 * s * s - 1) / 3 ELSE (1 - 4 * (1 - s) * (1 - s)) / 3 END)) AS clon, CASE WHEN s >= 0.5 THEN (4 * s * s - 1) / 3 ELSE (1 - 4 * (1 - s) * (1 - s)) / 3 END AS u, CASE WHEN t >= 0.5 THEN (4 * t * t - 1) / 3 ELSE (1 - 4 * (1 - t) * (1 - t)) / 3 END AS v FROM grid",
+    "centred": "SELECT poly_id, cell, clon, degrees(atan2(v, sqrt(1 + u * u))) AS clat FROM middle",
+    "within": "SELECT c.poly_id, c.cell FROM centred c JOIN ring r ON r.poly_id = c.poly_id AND (r.lon::DOUBLE > clon) <> (r.jlon::DOUBLE > clon) AND clat < (r.jlat::DOUBLE - r.lat::DOUBLE) * (clon - r.lon::DOUBLE) / (r.jlon::DOUBLE - r.lon::DOUBLE) + r.lat::DOUBLE GROUP BY c.poly_id, c.cell HAVING COUNT(*) % 2 = 1",
+}
+
+
+@query("cover_polygon", "SELECT poly_id, cell, FALSE AS is_interior FROM outline UNION ALL SELECT poly_id, cell, TRUE FROM within WHERE NOT EXISTS (SELECT 1 FROM outline o WHERE o.poly_id = within.poly_id AND o.cell = within.cell)", **_COVER)
 def _(s, d):
     return polygons(s, d).select("poly_id", F.explode(cells_of_polygon(F.col("vertices"), 13)).alias("c")).select("poly_id", "c.cell", "c.is_interior")
 

@@ -99,6 +99,38 @@ def test_cells(lat, lon, level):
         assert int(key[0]) in cells.block([k], level)[0]
 
 
+def test_cells_under_geodesics_against_dense_samples():
+    rng = np.random.default_rng(5)
+    n, level = 500, 6
+    lat0, lon0 = rng.uniform(-88, 88, n), rng.uniform(-180, 180, n)
+    reach = rng.choice([0, 0.3, 3, 20], n)
+    lat1, lon1 = np.clip(lat0 + reach * rng.uniform(-1, 1, n), -89, 89), lon0 + reach * rng.uniform(-1, 1, n)
+    seg, cell = cells.under(lat0, lon0, lat1, lon1, level)
+    faces = 0
+    for k in range(n):
+        a, b = (np.array(cells.xyz_of(*p)) for p in ((lat0[k], lon0[k]), (lat1[k], lon1[k])))
+        t = np.linspace(0, 1, 4001)[:, None]
+        x, y, z = (a * (1 - t) + b * t).T  # chords project to geodesics
+        sampled, times = np.unique(cells.keys(np.degrees(np.arctan2(z, np.hypot(x, y))), np.degrees(np.arctan2(y, x)), level), return_counts=True)
+        found = set(cell[seg == k].tolist())
+        assert set(sampled[times > 1].tolist()) <= found  # a single sample may lie on a border
+        assert len(found - set(sampled.tolist())) <= 1 + len(found) // 10  # corners that samples miss
+        faces += len({c >> 2 * level for c in found}) > 1
+    assert faces > 10
+    assert cells.under(np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0), 5)[0].tolist() == []
+
+
+def test_cells_of_lines_nulls_and_points(spark):
+    rows = [(1, None), (2, []), (3, [(43.7, 7.4)]), (4, [(43.7, 7.4), (43.7, 7.4)]), (5, [(43.7, 7.4), (43.71, 7.4), (43.7, 7.4)])]
+    df = spark.createDataFrame(rows, "id int, v array<struct<lat:double,lon:double>>")
+    got = {r.id: r.c for r in df.select("id", cells.cells_of_line(F.col("v")).alias("c")).collect()}
+    own = int(cells.keys(43.7, 7.4, 17))
+    assert got[1] is None and got[2] == [] and got[3] == got[4] == [own]
+    assert own in got[5] and len(got[5]) == len(set(got[5])) > 10
+    odd = spark.createDataFrame([(None, 1.0), (float("nan"), 1.0), (1.0, 1.0)], "lat double, lon double").select(cells.cell(F.col("lat"), F.col("lon")).alias("c"), cells.cells_around(F.col("lat"), F.col("lon")).alias("a")).collect()
+    assert [r.c is None for r in odd] == [r.a is None for r in odd] == [True, True, False] and len(odd[2].a) == 9
+
+
 def test_point_in_polygon_and_cover(spark):
     ring = circle(40)[:-1]
     found = dict(cover.polygon(ring, 9))

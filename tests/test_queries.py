@@ -9,7 +9,7 @@ import pytest
 from cairn import catalog
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"ring_assembly", "simplify_polygon", "cover_polygon", "s2_cell_id", "cell_neighbors"}
+ROWS_ONLY = {"ring_assembly", "simplify_polygon"}
 
 
 @pytest.fixture(scope="module")
