@@ -24,6 +24,8 @@ RAMPS = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 SHARE, CAP = 1.5, 2
 #: Documents of one source in a bucket of the running sum, on average.
 BUCKET_ROWS = 2048
+#: Sources, at most: the driver shares out the words among them.
+MAX_SOURCES = 100_000
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, cap: int = CAP) -> list[float]:
@@ -64,10 +66,11 @@ def curriculum_mix(
     """One row per document: id, size, source, source_size, target, taken, positions array<double>.
 
     ``positions`` has the training position of each (whole or last, partial) copy; empty if none is taken.
-    Sources are a configured, short list: their sizes are collected. All else stays distributed: running
-    sums go over buckets of md5 digits in three levels, so no task sorts a whole source.
+    Sources are a configured, short list: their sizes are collected, and more than MAX_SOURCES are an error.
+    All else stays distributed: running sums go over buckets of md5 digits in three levels, so no task sorts
+    a whole source.
 
-    Null ids are ordered as the empty string; null sizes count 0; a null source is a source of its own, the
+    Rows without id are ordered by the digest of their size; null sizes count 0; a null source is a source of its own, the
     last. Empty documents and empty tables get taken 0 and no positions. Repeated rows are separate rows.
     Columns of ``docs`` beside the three are not read. Ties of md5 and id are broken by size; equal rows
     are interchangeable.
@@ -76,10 +79,12 @@ def curriculum_mix(
         F.col(id_col).alias("_id"),
         F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("_size"),
         F.col(source_col).alias("_source"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_h"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("|"), F.coalesce(F.col(size_col), F.lit(0)).cast("string"))).cast("binary")).alias("_h"),
     )
     base = materialize(base)
-    sums = base.groupBy("_source").agg(F.sum("_size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    sums = base.groupBy("_source").agg(F.sum("_size").alias("s"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(sums) > MAX_SOURCES:
+        raise ValueError(f"{source_col} has more than {MAX_SOURCES} values; group them into sources first")
     sums.sort(key=lambda r: (r[0] is None, (r[0] or "").encode() if isinstance(r[0] or "", str) else r[0]))
     w = [weights[i % len(weights)] for i in range(len(sums))]
     goal = targets([r.s for r in sums], w, share, cap)
@@ -126,15 +131,20 @@ def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
 
 
-def mixed_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def mixed_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` as the mix trains on them: each row once for every copy taken, range-sorted by position.
 
-    A last copy of which only a part is taken is a row as well. Rows without id are not taken; rows that
-    repeat an id are taken as that id's copies say, each of them.
+    A last copy of which only a part is taken is a row as well. Rows are told apart by their id, source and
+    text, so those without id and those that repeat an id are mixed as any other; rows equal in all three
+    are taken together. Columns of any name but ``_cairn_key`` and ``_cairn_at`` pass through.
     """
-    plan = curriculum_mix(sized(docs.filter(F.col(id_col).isNotNull())).select(id_col, "size", "source"))
-    plan = materialize(plan.select(id_col, "positions").filter(F.size("positions") > 0).dropDuplicates([id_col]))
-    return docs.join(plan, id_col).withColumn("_at", F.explode("positions")).orderBy("_at", id_col).select(*docs.columns)
+    told = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in (id_col, source_col, text_col))
+    keyed = docs.withColumn("_cairn_key", F.md5(F.concat_ws("|", *told).cast("binary")))
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    units = keyed.select("_cairn_key", size.alias("size"), F.col(source_col).alias("source")).groupBy("_cairn_key", "source").agg(F.sum("size").alias("size"))
+    plan = curriculum_mix(units, "_cairn_key")
+    plan = materialize(plan.select("_cairn_key", F.explode("positions").alias("_cairn_at")))
+    return keyed.join(plan, "_cairn_key").orderBy("_cairn_at", "_cairn_key").select(*docs.columns)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
@@ -146,8 +156,8 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS h,
-                  COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+WITH e AS (SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+d AS (SELECT *, md5(COALESCE(CAST(doc_id AS VARCHAR), '|' || size)) AS h FROM e),
 s AS (SELECT source, SUM(size)::BIGINT AS source_size,
              [5, 2, 1][((ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
 o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST) AS r FROM s),
