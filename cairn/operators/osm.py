@@ -111,6 +111,14 @@ def complete_members(relations: DataFrame, geometries: DataFrame) -> DataFrame:
     return with_lines.join(broken, "rel_id", "left_anti")
 
 
+def member_diagnostics(relations: DataFrame, geometries: DataFrame) -> DataFrame:
+    """(rel_id, total, found, missing): how many members of each relation have a geometry."""
+    members = relations.select("rel_id", F.explode("members.way_id").alias("way_id"))
+    known = members.join(geometries.select("way_id", F.lit(True).alias("_ok")).distinct(), "way_id", "left")
+    out = known.groupBy("rel_id").agg(F.count(F.lit(1)).alias("total"), F.count("_ok").alias("found"))
+    return out.withColumn("missing", F.col("total") - F.col("found"))
+
+
 def with_numbers(interp: DataFrame, addresses: DataFrame) -> DataFrame:
     """``interp`` with start_number and end_number: those of the addresses where the way begins and ends."""
     from cairn.functions.geom import grid_key, house_number

@@ -92,38 +92,42 @@ def greedy(chains: Chains) -> tuple[list[Ring], set[int]]:
 
 
 def searched(chains: Chains) -> list[Ring]:
-    """Rings by depth-first search from each unused piece, within the limits on calls."""
-    rings, used, calls = [], set(), 0
+    """Rings by depth-first search from each unused piece, within the limits on calls.
+
+    A search ends with the first path that closes; if that ring crosses itself, its start is given up. Calls
+    count in all for starts that were given up only.
+    """
+    rings, used, lost = [], set(), 0
     for k, (first, end) in enumerate(chains.ends):
-        if k in used or calls >= ALL_CALLS:
+        if k in used or lost >= ALL_CALLS:
             continue
-        if first == end:
-            if len(chains.pieces[k]) >= 4:
-                rings.append(chains.pieces[k])
-                used.add(k)
+        if first == end and len(chains.pieces[k]) >= 4:
+            rings.append(chains.pieces[k])
+            used.add(k)
             continue
-        mine, path = 0, [k]
-        todo = [(end, iter(chains.at[end]))]
-        while todo and mine < RING_CALLS and calls < ALL_CALLS:
-            here, options = todo[-1]
-            n = next((n for n in options if n not in used and n not in path), None)
+        calls, path, todo, closed = 1, [k], [iter(chains.at[end])], False
+        here = [end]
+        while todo and not closed and calls < RING_CALLS:
+            n = next((n for n in todo[-1] if n not in used and n not in path), None)
             if n is None:
                 todo.pop()
                 path.pop()
+                here.pop()
                 continue
-            mine, calls = mine + 1, calls + 1
+            calls += 1
+            there = chains.beyond(n, here[-1])
             path.append(n)
-            there = chains.beyond(n, here)
-            if there == first:
-                if sound(ring := chains.ring(path)):
-                    rings.append(ring)
-                    used.update(path)
-                    break
-                path.pop()
-            elif len(path) >= MAX_DEPTH:
+            closed = there == first
+            if not closed and len(path) - 1 <= MAX_DEPTH:
+                todo.append(iter(chains.at[there]))
+                here.append(there)
+            elif not closed:
                 path.pop()
-            else:
-                todo.append((there, iter(chains.at[there])))
+        if closed and sound(ring := chains.ring(path)):
+            rings.append(ring)
+            used.update(path)
+        else:
+            lost += calls
     return rings
 
 

@@ -37,28 +37,79 @@ def build(nodes: DataFrame, ways: DataFrame, relations: DataFrame, max_admin_lev
     return {t: tables[t] for t in index.MODES[mode]}
 
 
+def _write(df: DataFrame, path: str, files: int | None = None, by: str | None = None) -> None:
+    if "cell" in df.columns:
+        df = (df.repartitionByRange(files, "cell") if files else df.repartitionByRange("cell")).sortWithinPartitions("cell")
+    out = df.write.mode("overwrite")
+    (out.partitionBy(by) if by else out).parquet(path)
+
+
+def _note(spark: SparkSession, path: str, places: dict[str, str]) -> None:
+    """What load() reads: the tables of an index and where each lies, seen from ``path``."""
+    row = (VERSION, sorted(places), [places[t] for t in sorted(places)])
+    spark.createDataFrame([row], "version int, tables array<string>, places array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/_meta.json")
+
+
 def save(tables: dict[str, DataFrame], path: str, files: int | None = None) -> None:
     """One Parquet table each; postings are range-partitioned and sorted by cell, so that footers prune probes."""
     for name, df in tables.items():
-        if "cell" in df.columns:
-            df = (df.repartitionByRange(files, "cell") if files else df.repartitionByRange("cell")).sortWithinPartitions("cell")
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(VERSION, sorted(tables))], "version int, tables array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/_meta.json")
+        _write(df, f"{path}/{name}", files)
+    _note(next(iter(tables.values())).sparkSession, path, {t: t for t in tables})
+
+
+def folder(mode: str) -> str:
+    return mode.replace("_", "-")
+
+
+def save_modes(tables: dict[str, DataFrame], path: str, files: int | None = None) -> None:
+    """An index for every mode that ``tables`` suffice for, below ``path``: each table is written once, and the
+    index of a mode names those that it has."""
+    for name, df in tables.items():
+        _write(df, f"{path}/tables/{name}", files)
+    for mode, needed in index.MODES.items():
+        if set(needed) <= tables.keys():
+            _note(next(iter(tables.values())).sparkSession, f"{path}/{folder(mode)}", {t: f"../tables/{t}" for t in needed})
 
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables that save() wrote, whatever their mode. A directory without boundaries is no index."""
+    """The tables of a saved index, whatever its mode. A directory without boundaries is no index, and one with
+    some of the tables of streets and addresses but not all that its mode needs is a partial one: both are errors."""
+    from pyspark.errors import AnalysisException
+
     meta = spark.read.json(f"{path}/_meta.json").first()
     if meta is None or meta.version != VERSION or "admin_polygons" not in meta.tables:
         raise ValueError(f"no index of version {VERSION} in {path}")
-    return {t: spark.read.parquet(f"{path}/{t}") for t in meta.tables}
+    mode = min((m for m, needed in index.MODES.items() if set(meta.tables) <= set(needed)), key=lambda m: len(index.MODES[m]), default="full")
+    if missing := set(index.MODES[mode]) - set(meta.tables):
+        raise ValueError(f"partial index in {path}: {', '.join(sorted(missing))} missing")
+    found = {}
+    for table, place in zip(meta.tables, meta.places, strict=True):
+        try:
+            found[table] = spark.read.parquet(f"{path}/{place}")
+        except AnalysisException as e:
+            raise ValueError(f"partial index in {path}: {table} missing") from e
+    return found
 
 
-def save_by_continent(tables: dict[str, DataFrame], path: str, street_level: int = cells.STREET_LEVEL, admin_level: int = cells.ADMIN_LEVEL) -> None:
-    """Each table partitioned by continent: postings whose cell lies in its box, and the rows they name."""
-    for kind, key, level in (("street_ways", "way_id", street_level), ("addr_points", "addr_id", street_level), ("interp_ways", "interp_id", street_level), ("admin_polygons", "poly_id", admin_level)):
+#: Tables, their postings and key, and whether they are of the level of boundaries.
+KINDS = (("street_ways", "street_cells", "way_id", False), ("addr_points", "addr_cells", "addr_id", False), ("interp_ways", "interp_cells", "interp_id", False), ("admin_polygons", "admin_cells", "poly_id", True))
+
+
+def save_by_continent(tables: dict[str, DataFrame], path: str, street_level: int = cells.STREET_LEVEL, admin_level: int = cells.ADMIN_LEVEL, files: int | None = None) -> None:
+    """Each table once, partitioned by continent: postings whose cell lies in its box, and the rows they name.
+    Below ``path``/<continent>/<mode> lies an index that load() opens, for every mode that ``tables`` suffice for."""
+    for kind, posts, key, admin in KINDS:
         if kind in tables:
-            posts = kind.split("_")[0] + "_cells"
-            index.by_continent(tables[posts], level).write.mode("overwrite").partitionBy("continent").parquet(f"{path}/{posts}")
-            index.used_by_continent(tables[kind], tables[posts], key, level).write.mode("overwrite").partitionBy("continent").parquet(f"{path}/{kind}")
+            level = admin_level if admin else street_level
+            _write(index.by_continent(tables[posts], level), f"{path}/{posts}", files, "continent")
+            _write(index.used_by_continent(tables[kind], tables[posts], key, level), f"{path}/{kind}", None, "continent")
+    spark = next(iter(tables.values())).sparkSession
+    there = {(t, r.continent) for t in tables for r in spark.read.parquet(f"{path}/{t}").select("continent").distinct().collect()}  # eight at most
+    for continent, *_ in index.CONTINENTS:
+        for mode, needed in index.MODES.items():
+            if set(needed) <= tables.keys():
+                for t in needed:
+                    if (t, continent) not in there:  # nothing lies there: an empty table
+                        tables[t].limit(0).write.mode("overwrite").parquet(f"{path}/{t}/continent={continent}")
+                        there.add((t, continent))
+                _note(spark, f"{path}/{continent}/{folder(mode)}", {t: f"../../{t}/continent={continent}" for t in needed})

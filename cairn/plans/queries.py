@@ -360,9 +360,8 @@ def _(s, d):
 
 @query("member_diagnostics", "SELECT rel_id, COUNT(*) AS total, COUNT(g.way_id) AS found, COUNT(*) - COUNT(g.way_id) AS missing FROM rel_members m JOIN bounds USING (rel_id) LEFT JOIN good g ON g.way_id = m.way_id GROUP BY rel_id", **_COMPLETE)
 def _(s, d):
-    good = osm.resolve(ways_with_tags(s, d), nodes(s, d)).filter("complete").select("way_id", F.lit(1).alias("ok"))
-    m = osm.boundary_relations(relations(s, d)).select("rel_id", F.explode("members").alias("m")).select("rel_id", "m.way_id").join(good, "way_id", "left")
-    return m.groupBy("rel_id").agg(F.count(F.lit(1)).alias("total"), F.count("ok").alias("found"), (F.count(F.lit(1)) - F.count("ok")).alias("missing"))
+    lines = osm.resolve(ways_with_tags(s, d), nodes(s, d)).filter("complete")
+    return osm.member_diagnostics(osm.boundary_relations(relations(s, d)), lines)
 
 
 @query("split_points", "SELECT gy, gx, COUNT(*) AS n FROM (SELECT CAST(ROUND(n.lat * 1e7) AS BIGINT) AS gy, CAST(ROUND(n.lon * 1e7) AS BIGINT) AS gx FROM way_refs w JOIN nodes n ON n.id = w.ref) GROUP BY gy, gx HAVING COUNT(*) > 1")
@@ -460,7 +459,9 @@ def _(s, d):
 @query("ring_assembly", None)
 def _(s, d):
     lines = osm.resolve(ways_with_tags(s, d), nodes(s, d)).filter("complete")
-    return rings.assemble(osm.complete_members(osm.boundary_relations(relations(s, d)), lines)).select("rel_id", "ring_no", F.size("ring").alias("n"))
+    made = rings.assemble(osm.complete_members(osm.boundary_relations(relations(s, d)), lines))
+    place = lambda p: F.concat_ws(" ", *(F.format_string("%.5f", p[c]) for c in ("lat", "lon")))
+    return made.select("rel_id", "ring_no", F.size("ring").alias("n"), F.array_join(F.transform("ring", place), ",").alias("ring"))
 
 
 # ---------------------------------------------------------------- index tables

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +11,14 @@ SCHEMA = f"users map<string,struct<{LIMITS.replace(' ', ':')}>>, tokens map<stri
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(users, tokens); limits that a user lacks are 0 and false. An unreadable file gives empty tables."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", SCHEMA).alias("j"))
+    """(users, tokens); limits that a user lacks are 0 and false. A missing or unreadable file gives empty tables."""
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        text = spark.createDataFrame([], "value string")
+    whole = text.select(F.from_json("value", SCHEMA).alias("j"))
     users = whole.select(F.explode("j.users").alias("login", "u")).select("login", *(F.coalesce(F.col("u")[c], F.lit(0).cast(k)).alias(c) for c, k in (x.split(" ") for x in LIMITS.split(", "))))
     return users, whole.select(F.explode("j.tokens").alias("token", "login"))
 

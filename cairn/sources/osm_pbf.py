@@ -5,11 +5,12 @@
 
 Option ``entity`` (node, way, relation) is the pushed-down part of a scan: blocks are skipped group by
 group. Files are listed by their blob headers only; ``blobs`` blobs (default 64) make a partition, so
-executors inflate and decode in parallel. Paths (comma-separated) may be any that pyarrow.fs opens.
+executors inflate and decode in parallel. Paths (a list, or comma-separated) may be any that pyarrow.fs opens.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -159,7 +160,8 @@ def headers(f) -> Iterator[tuple[int, str, int]]:
 
 class Reader(DataSourceReader):
     def __init__(self, options, schema):
-        self.paths = [p for p in options["path"].split(",") if p]
+        listed = json.loads(options["paths"]) if "paths" in options else []  # load([a, b])
+        self.paths = [p for path in [*listed, options.get("path", "")] for p in path.split(",") if p]
         self.entity, self.blobs, self.schema = options.get("entity", "node"), int(options.get("blobs", 64)), schema
 
     def partitions(self):

@@ -31,9 +31,9 @@ def limit_stream(valid: DataFrame, short: str = "second", long: str = "day") ->
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s_at, s_n, d_at, d_n = state.get if state.exists else (-1, 0, -1, 0)
-        for f in frames:
-            status = []
-            f = f.sort_values(["ts", "req_id"])
+        own = list(frames)  # a key's requests of one micro-batch
+        if own:
+            f, status = pd.concat(own).sort_values(["ts", "req_id"]), []
             seconds = f["ts"].astype("int64") // {"ns": 10**9, "us": 10**6, "ms": 10**3, "s": 1}[f["ts"].dt.unit]
             for t, rps, rpd in zip(seconds, f["rate_per_second"], f["rate_per_day"], strict=True):
                 a, b = t // UNITS[short], t // UNITS[long]
@@ -70,7 +70,7 @@ def _through(spark, df: DataFrame, start: Callable[[DataFrame, str], object], na
 def stream_rate_limit(spark, d: str) -> DataFrame:
     from cairn.plans.queries import requests
 
-    valid = requests(spark, d).filter("login IS NOT NULL").select("req_id", "ts", "rate_key", "rate_per_second", "rate_per_day").coalesce(1)
+    valid = requests(spark, d).filter("login IS NOT NULL").select("req_id", "ts", "rate_key", "rate_per_second", "rate_per_day")
 
     def start(stream, path):
         return limit_stream(stream, "minute", "day").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()

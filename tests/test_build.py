@@ -1,13 +1,14 @@
 """The build from a hand-made extract, its snapshot, sources, streams and access, end to end."""
 
 import datetime as dt
+import shutil
 import struct
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import access, index, lookup
+from cairn.operators import access, index, lookup, rings
 from cairn.plans import build
 from cairn.sources import accounts, osm_pbf
 from cairn.streaming.lookup import geocode_stream
@@ -75,12 +76,71 @@ def test_build_snapshot_modes_and_lookup(spark, tmp_path):
     assert slim.keys() == set(index.MODES["admin_only"])
     assert {r.qid: r.display_name for r in lookup.reverse_geocode(points, slim).collect()}[1] == "98000 Ville, Pays"
     assert {r.name for r in build.build(*frames(spark), max_admin_level=8)["admin_polygons"].collect()} == {"Pays", "Ville"}
-    build.save_by_continent(loaded, str(tmp_path / "parts"))
-    assert {r.continent for r in spark.read.parquet(str(tmp_path / "parts" / "addr_points")).collect()} == {"europe"}
     with pytest.raises(Exception):
         build.load(spark, str(tmp_path / "none"))
 
 
+def test_modes_continents_and_partial_indexes(spark, tmp_path):
+    tables = build.build(*frames(spark))
+    build.save_modes(tables, str(tmp_path / "all"))
+    for mode, needed in index.MODES.items():
+        found = build.load(spark, f"{tmp_path}/all/{build.folder(mode)}")
+        assert found.keys() == set(needed)
+        assert all(index.difference(tables[t], found[t]).isEmpty() for t in ("admin_cells", needed[0]))
+    whole = build.load(spark, f"{tmp_path}/all/full")
+    build.save_by_continent(whole, str(tmp_path / "parts"))
+    assert {r.continent for r in spark.read.parquet(str(tmp_path / "parts" / "addr_points")).filter("addr_id IS NOT NULL").collect()} == {"europe"}
+    points = spark.createDataFrame(POINTS, "qid long, lat double, lon double")
+    europe = build.load(spark, f"{tmp_path}/parts/europe/full")
+    assert {r.qid: r.display_name for r in lookup.reverse_geocode(points, europe).collect()} == WANT
+    asia = build.load(spark, f"{tmp_path}/parts/asia/admin-only")
+    assert {r.display_name for r in lookup.reverse_geocode(points, asia).collect()} == {None}
+    shutil.rmtree(tmp_path / "all" / "tables" / "street_cells")
+    assert build.load(spark, f"{tmp_path}/all/admin-only").keys() == set(index.MODES["admin_only"])
+    with pytest.raises(ValueError, match="partial"):
+        build.load(spark, f"{tmp_path}/all/no-addresses")
+    build.save({t: whole[t] for t in ("admin_polygons", "admin_cells", "street_ways")}, str(tmp_path / "odd"))
+    with pytest.raises(ValueError, match="street_cells missing"):
+        build.load(spark, str(tmp_path / "odd"))
+
+
+def test_rings_close_retry_and_miss():
+    square = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0), (0.0, 0.0)]
+    whole = lambda rings_: [[tuple(p) for p in r] for r in rings_]
+    assert whole(rings.rings_of([("outer", square)])) == [square]
+    assert whole(rings.rings_of([("outer", square[:3]), ("", square[:1] + square[:1:-1])])) == [square]
+    assert rings.rings_of([("outer", square[:3])]) == []
+    assert whole(rings.rings_of([("inner", square)])) == [square]  # no outer ring: all members
+    # At (0, 1) the first piece in order leads astray; the search goes back and takes the other.
+    astray = [(0.0, 1.0), (-1.0, 3.0)]
+    found = rings.rings_of([("outer", square[:2]), ("outer", astray), ("outer", square[1:])])
+    assert whole(found) == [square[1:] + square[1:2]]
+    # The first path that closes crosses itself: its start is given up, though another path would be sound.
+    a, b = (0.0, 0.0), (0.0, 4.0)
+    bow = [b, (4.0, 0.0), (4.0, 4.0), a]
+    arc = [b, (2.0, 5.0), (5.0, 2.0), a]
+    chains = rings.Chains([[a, b], bow, arc])
+    assert not rings.sound(chains.ring([0, 1]))
+    assert [r[0] for r in rings.searched(chains)] == [b]  # from the third piece on: arc and base
+    assert rings.searched(rings.Chains([[a, b], bow])) == []
+    two = [[(x + 5, y + 5) for x, y in square], square]
+    assert whole(rings.rings_of([("outer", two[0][:3]), ("outer", two[1][:3]), ("outer", two[0][2:]), ("outer", two[1][2:])])) == two
+
+
+def test_missing_accounts_are_empty(spark, tmp_path):
+    users, tokens = accounts.load(spark, str(tmp_path / "none.json"))
+    assert users.collect() == tokens.collect() == []
+    assert users.columns == ["login", "admin", "rate_per_second", "rate_per_day", "rate_by_ip"]
+
+
+def test_ship_makes_an_archive(spark):
+    import zipfile
+
+    import cairn
+
+    assert "cairn/functions/cells.py" in zipfile.ZipFile(cairn.ship(spark)).namelist()
+
+
 def test_semantics_of_distance_and_interior():
     assert lookup.limit() > lookup.limit(semantics="corrected")
     assert lookup.limit(semantics="corrected") == pytest.approx((75 / 6_371_000) ** 2, rel=0.01)
@@ -147,6 +207,8 @@ def test_pbf_source(spark, tmp_path):
     got = {r.id: r for r in read("node").collect()}
     assert len(got) == len(nodes) + 1 and got[5001].tags == nodes[0][3]
     assert all(got[n[0]].lat == pytest.approx(n[1], abs=1e-7) and got[n[0]].tags == n[3] for n in nodes)
+    both = spark.read.format("osm_pbf").option("entity", "way").load([path, path])
+    assert both.count() == 2 * len(ways) == spark.read.format("osm_pbf").option("entity", "way").load(f"{path},{path}").count()
     assert {r.id: (r.refs, r.tags) for r in read("way").collect()} == {i: (refs, t) for i, refs, t in ways}
     assert {r.id: ([m.asDict() for m in r.members], r.tags) for r in read("relation").collect()} == {i: (m, t) for i, m, t in relations}
     tables = build.build(read("node").filter("id < 5000"), read("way"), read("relation"))
