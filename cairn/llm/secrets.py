@@ -3,16 +3,21 @@
 Candidates of the battery are long runs of key-like characters. Each is taken as text in the smallest
 alphabet (encoding) that holds it, and tested for a uniform use of the alphabet (chi-squared), for the
 number of runs of its lower and upper half, and for serial correlation of neighbours. Random keys pass
-all three. Prose does not use its letters evenly: how unlikely prose is to be as even as the candidate is
-its p-value, and by class of length the false-discovery rate over all documents is held at FDR.
+all three. Two things speak against what is no key: how unlikely prose is to be as even as the candidate,
+and how unlikely it is to keep to so small an alphabet for so long. The second is measured: over all
+candidates that fail the battery, how often a character of the alphabet is followed by another. Both
+together are the candidate's p-value, and by encoding and class of length the false-discovery rate over
+all documents is held at FDR.
 """
 
 from __future__ import annotations
 
+from math import log10
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import read
+from cairn.llm.common import materialize, read
 
 #: Fixed by the contract: the kinds in order, their patterns (a kind's matches may fail a minimum later).
 KINDS = ("assign", "access", "hex", "random")
@@ -42,20 +47,33 @@ ALPHABETS = (
 PROSE_MATCH, LENGTHS, MAX_Z, FDR = 0.065, (24, 32, 48, 80), 3.3, 0.01
 #: p-values are counted in bins of 1/BINS of a power of ten, down to 10^-LAST.
 BINS, LAST = 8, 20
+#: Families of alphabets, without regard to case: their characters, and how often one is followed by another
+#: where too few candidates tell (as if PRIOR of them had told). The families of ALPHABETS; -1: no family.
+#: (Of letters alone there is none: words written together keep to them as long as keys do.)
+FAMILIES = (("[0-9]", 0.5), ("[0-9A-Fa-f]", 0.5))
+PRIOR = 1000
+FAMILY_OF = (0, 1, 1, -1, -1, -1, -1, -1, -1, -1, -1, -1)
+#: Members of an array that are folded together, so that long arrays take linear time.
+FOLD = 256
+
+
+def before(x: Column, join, zero: int = 0) -> Column:
+    """What ``join`` (sum, greatest) makes of all members before each member of an array<int>, and of all at the
+    end: one member more than ``x``. Blocks of FOLD are joined first, as each step of a fold copies its array."""
+    add = lambda acc, v: F.array_append(acc, join(F.element_at(acc, -1), v))
+    start = lambda v: F.array(v).cast("array<int>")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(FOLD)), lambda i: F.slice(x, i + 1, F.lit(FOLD)))
+    heads = F.aggregate(F.transform(blocks, lambda c: F.aggregate(c, F.lit(zero), join)), start(F.lit(zero)), add)
+    inner = F.zip_with(blocks, F.slice(heads, F.lit(1), F.size(blocks)), lambda c, h: F.slice(F.aggregate(c, start(h), add), F.lit(1), F.size(c)))
+    return F.concat(F.flatten(inner), F.slice(heads, F.lit(-1), F.lit(1)))
 
 
 def spans(text: Column, pattern: str) -> Column:
     """All leftmost matches, as array<struct<start, end, found>> in code points: gaps and matches take turns."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
-
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found"))).alias("out"))
-
-    pairs = F.transform(found, lambda x, i: F.struct(F.get(gaps, i).alias("gap"), x.alias("found")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    steps = F.transform(found, lambda x, i: F.length(F.get(gaps, i)) + F.length(x))
+    ends = F.slice(before(steps, lambda a, b: a + b), F.lit(2), F.size(found))
+    return F.zip_with(found, ends, lambda x, e: F.struct((e - F.length(x)).alias("start"), e.alias("end"), x.alias("found")))
 
 
 def _lower_tail(z: Column) -> Column:
@@ -70,10 +88,18 @@ def _fields(c: Column, *names: str) -> list[Column]:
 
 
 def battery(found: Column) -> Column:
-    """For array<struct<start, end, found>>: struct<start, end, n, z array<double>, p double> of each."""
+    """For array<struct<start, end, found>>: struct<start, end, n, code, z array<double>, p double, kept array> of each.
+
+    ``p`` is of the evenness alone; ``kept`` has for each family how many characters are in it (the last one
+    aside), and after how many of those comes another.
+    """
     code = lambda s: F.coalesce(*(F.when(F.translate(s, a, "") == "", F.lit(i)) for i, a in enumerate(ALPHABETS)))
     letters = F.array(*(F.lit(a) for a in ALPHABETS))
-    one = F.transform(found, lambda c: F.struct(*_fields(c, "start", "end", "found"), F.get(letters, code(c["found"])).alias("a")))
+    one = F.transform(F.transform(found, lambda c: F.struct(*_fields(c, "start", "end", "found"), code(c["found"]).alias("code"))), lambda c: F.struct(*_fields(c, "start", "end", "found", "code"), F.get(letters, c["code"]).alias("a")))
+
+    def keeps(s, family):
+        many, runs = F.length(s) - F.length(F.regexp_replace(s, family, "")), F.regexp_count(s, F.lit(family + "+"))
+        return F.struct((many - F.when(s.rlike(family + "$"), 1).otherwise(0)).alias("all"), (many - runs).alias("next"))
 
     def counted(c):
         s, a = c["found"], c["a"]
@@ -84,7 +110,8 @@ def battery(found: Column) -> Column:
         # upper half to '~', lower half to '!': neither is in an alphabet
         bits = F.call_function("translate", F.call_function("translate", s, high, F.rpad(F.lit("~"), F.length(high), F.lit("~"))), low, F.rpad(F.lit("!"), F.length(low), F.lit("!")))
         at = F.transform(F.split(s, ""), lambda x: F.call_function("instr", a, x).cast("double"))
-        return F.struct(*_fields(c, "start", "end"), F.length(s).alias("n"), k.alias("k"), squares.alias("squares"), bits.alias("bits"), at.alias("at"))
+        kept = F.array(*(keeps(s, family) for family, _ in FAMILIES)).alias("kept")
+        return F.struct(*_fields(c, "start", "end", "code"), kept, F.length(s).alias("n"), k.alias("k"), squares.alias("squares"), bits.alias("bits"), at.alias("at"))
 
     def tested(c):
         n, k = c["n"].cast("double"), c["k"].cast("double")
@@ -103,17 +130,20 @@ def battery(found: Column) -> Column:
         more = (n - 1) * (k * F.greatest(F.lit(PROSE_MATCH), 1.3 / k) - 1)
         p = _lower_tail((chi - (k - 1) - more) / F.sqrt(2 * (k - 1) + 4 * more))
         uniform = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-        return F.struct(*_fields(c, "start", "end", "n"), F.array(uniform, runs, serial).alias("z"), p.alias("p"))
+        return F.struct(*_fields(c, "start", "end", "n", "code"), F.array(uniform, runs, serial).alias("z"), p.alias("p"), c["kept"].alias("kept"))
 
     return F.transform(F.transform(one, counted), tested)
 
 
-def _class(n: Column) -> Column:
-    return sum((F.when(n >= x, 1).otherwise(0) for x in LENGTHS), F.lit(0))
+def _stratum(c: Column) -> Column:
+    """Encoding and class of length."""
+    return c["code"] * (len(LENGTHS) + 1) + sum((F.when(c["n"] >= x, 1).otherwise(0) for x in LENGTHS), F.lit(0))
 
 
-def _bin(p: Column) -> Column:
-    return F.least(F.lit(BINS * LAST), F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * BINS)).cast("int")
+def _bin(c: Column, stay: list[float]) -> Column:
+    """Of the p-value: that prose stays in the alphabet, and then is so even."""
+    log_stay = F.get(F.array(*(F.lit(x) for x in stay)), c["code"]) * (c["n"] - 1)
+    return F.least(F.lit(BINS * LAST), F.floor(-(F.log10(F.greatest(c["p"], F.lit(1e-300))) + log_stay) * BINS)).cast("int")
 
 
 def _passes(c: Column) -> Column:
@@ -121,22 +151,31 @@ def _passes(c: Column) -> Column:
 
 
 def _bare(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with _base (sorted spans of the fixed patterns) and _try (tested candidates that overlap none)."""
+    """``docs`` with _cairn_base (sorted spans of the fixed patterns) and _cairn_try (tested candidates that overlap none)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     strong = lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 2)) >= ASSIGN_MIN
     named = lambda k, xs: F.transform(xs, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
     base = F.array_sort(F.concat(named(0, F.filter(spans(text, ASSIGN), strong)), named(1, spans(text, ACCESS)), named(2, spans(text, HEX))))
-    free = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return docs.withColumn("_base", base).withColumn("_try", battery(F.filter(spans(text, CANDIDATE), free)))
+    free = lambda x: ~F.exists("_cairn_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    return docs.withColumn("_cairn_base", base).withColumn("_cairn_try", battery(F.filter(spans(text, CANDIDATE), free)))
+
+
+def staying(tried: DataFrame) -> list[float]:
+    """By alphabet, the logarithm (to ten) of how often prose stays in it for another character."""
+    failed = tried.select(F.explode("_cairn_try").alias("c")).filter(~_passes(F.col("c")))
+    sums = failed.agg(*(F.sum(F.get("c.kept", F.lit(k))[name]).alias(f"{name}{k}") for k in range(len(FAMILIES)) for name in ("all", "next"))).first()
+    rate = [((sums[f"next{k}"] or 0) + PRIOR * p) / ((sums[f"all{k}"] or 0) + PRIOR) for k, (_, p) in enumerate(FAMILIES)]
+    return [log10(min(1.0, rate[k])) if k >= 0 else 0.0 for k in FAMILY_OF]
 
 
-def limits(tried: DataFrame) -> list[int]:
-    """By class of length, the smallest bin whose candidates are discoveries (Benjamini-Hochberg over bins)."""
-    counts = tried.select(F.explode("_try").alias("c")).groupBy(_class(F.col("c.n")).alias("len"), F.when(_passes(F.col("c")), _bin(F.col("c.p"))).otherwise(-1).alias("bin")).count()
-    rows = counts.collect()  # len(LENGTHS) + 1 times BINS * LAST + 2 rows at most
+def limits(tried: DataFrame, stay: list[float]) -> list[int]:
+    """By stratum, the smallest bin whose candidates are discoveries (Benjamini-Hochberg over bins)."""
+    c = F.col("c")
+    counts = tried.select(F.explode("_cairn_try").alias("c")).groupBy(_stratum(c).alias("of"), F.when(_passes(c), _bin(c, stay)).otherwise(-1).alias("bin")).count()
+    rows = counts.collect()  # strata times BINS * LAST + 2 rows at most
     found = []
-    for k in range(len(LENGTHS) + 1):
-        own = {r["bin"]: r["count"] for r in rows if r["len"] == k}
+    for k in range(len(ALPHABETS) * (len(LENGTHS) + 1)):
+        own = {r["bin"]: r["count"] for r in rows if r["of"] == k}
         every, reach = sum(own.values()), 0
         best = BINS * LAST + 1
         for b in range(BINS * LAST, -1, -1):
@@ -147,31 +186,29 @@ def limits(tried: DataFrame) -> list[int]:
     return found
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``secrets``: array<struct<start, kind, end>>, sorted; kind is an index into KINDS.
+def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets") -> DataFrame:
+    """``docs`` with ``into``: array<struct<start, kind, end>>, sorted; kind is an index into KINDS.
 
     Whole texts are read; offsets count code points, the end is exclusive. Null and empty texts have none.
-    Repeated rows have the same spans; other columns pass through (``_base`` and ``_try`` are reserved); an
-    empty table gives no rows. A very long run of key characters is one candidate.
+    Repeated rows have the same spans; other columns pass through (one named as ``into`` is replaced); an
+    empty table gives no rows. A very long run of key characters is one candidate. Texts are searched once;
+    what is found is written beside them, then counted, then judged.
     """
-    tried = _bare(docs, text_col)
-    least = F.array(*(F.lit(b) for b in limits(_bare(docs.select(text_col), text_col))))
-    good = F.filter("_try", lambda c: _passes(c) & (_bin(c["p"]) >= F.get(least, _class(c["n"]))))
+    tried = materialize(_bare(docs, text_col))
+    stay = staying(tried)
+    least = F.array(*(F.lit(b) for b in limits(tried, stay)))
+    good = F.filter("_cairn_try", lambda c: _passes(c) & (_bin(c, stay) >= F.get(least, _stratum(c))))
     more = F.transform(good, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
-    return tried.withColumn("secrets", F.array_sort(F.concat("_base", more))).drop("_base", "_try")
-
-
-def redact(found: DataFrame, text_col: str = "text", by: str = "[SECRET]") -> DataFrame:
-    """``text`` with every span of ``secrets`` replaced (spans that overlap: once), and without that column."""
-    text = F.col(text_col)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return tried.withColumn(into, F.array_sort(F.concat("_cairn_base", more))).drop("_cairn_base", "_cairn_try")
 
-    def step(acc, s):
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(by))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
 
-    new = F.aggregate("secrets", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("secrets") > 0, new).otherwise(text)).drop("secrets")
+def redact(found: DataFrame, text_col: str = "text", by: str = "[SECRET]", secrets_col: str = "secrets") -> DataFrame:
+    """``text`` with every span of ``secrets_col`` replaced (spans that overlap: once), and without that column."""
+    text, own = F.col(text_col), F.col(secrets_col)
+    reach = before(F.transform(own, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    kept = F.zip_with(own, F.slice(reach, F.lit(1), F.size(own)), lambda s, at: F.when(s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.lit(by))).otherwise(""))
+    new = F.concat(F.array_join(kept, ""), F.substring(text, F.element_at(reach, -1) + 1, F.length(text)))
+    return found.withColumn(text_col, F.when(F.size(own) > 0, new).otherwise(text)).drop(secrets_col)
 
 
 def written(found: Column) -> Column:
