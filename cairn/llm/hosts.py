@@ -21,7 +21,7 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-#: Suffixes of more than one label under which domains are registered.
+#: Suffixes of more than one label under which domains are registered, where no other list is given.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "com.br", "co.in", "co.nz", "co.za", "com.cn", "com.mx", "com.tr")
 #: A host is bad if its bad rate, Z standard deviations below the posterior mean, is over this.
 MAX_BAD, Z = 0.5, 1.645
@@ -44,15 +44,27 @@ def _after(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*LONG_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def name_of(host: Column) -> Column:
+    """The host's name without user part, port and closing dots."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"(:[0-9]*)?\.*$", "")
 
 
-def domain_of(host: Column) -> Column:
-    """The suffix and one label more; the host itself if it has no more."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*LONG_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def is_address(name: Column) -> Column:
+    return name.rlike(r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\]?)$")
+
+
+def suffix_of(host: Column, suffixes=LONG_SUFFIXES) -> Column:
+    """The last label of the name, or the last two if those are one of ``suffixes``; of an address: empty."""
+    name = name_of(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(is_address(name), "").when(two.isin(*suffixes), two).otherwise(F.substring_index(name, ".", -1))
+
+
+def domain_of(host: Column, suffixes=LONG_SUFFIXES) -> Column:
+    """The suffix and one label more; the name itself if it has no more, or is an address."""
+    name = name_of(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(is_address(name), name).when(two.isin(*suffixes), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def apply_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -72,13 +84,13 @@ def _shrunk(df: DataFrame, n: str, x: str, prior: str) -> tuple[DataFrame, float
     return df, round(1 / rho - 1, 6)
 
 
-def reputations(pages: DataFrame) -> DataFrame:
+def reputations(pages: DataFrame, suffixes=LONG_SUFFIXES) -> DataFrame:
     """``pages`` (host, bad int or null) -> host, n_pages, n_labelled, n_bad, bad_mean, bad_low.
 
     Counts are grouped with partial aggregation, so a hot host is one row before the shuffle.
     """
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("x"))
-    hosts = materialize(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
+    hosts = materialize(hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)}))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("x").alias("x")).first()
     mean = ((total.x or 0) + 1) / ((total.n or 0) + 2)
 
@@ -97,18 +109,21 @@ def reputations(pages: DataFrame) -> DataFrame:
     return last.select("host", "n_pages", F.col("n").alias("n_labelled"), F.col("x").alias("n_bad"), at.alias("bad_mean"), (at - Z * F.sqrt(at * (1 - at) / (a + b + 1))).alias("bad_low"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", max_bad: float = MAX_BAD) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", max_bad: float = MAX_BAD, suffixes=LONG_SUFFIXES) -> DataFrame:
     """(id, host, path, rule, verdict, n_labelled, bad_mean, bad_low) of every row of ``pages``.
 
     ``outcomes`` is (id, bad 0/1); an id with several counts as its worst; null ids or outcomes say nothing.
-    Null urls and urls without ``://`` have empty host and path, and such pages are one host together.
+    Null urls and urls without ``://`` have empty host and path, and such pages are one host together. Rules
+    see the host as it is; for domain and suffix its user part and port do not count, and an address is a
+    domain of its own. ``suffixes``: those of more than one label, as from a public list.
     Repeated rows are rows of their own (and count as pages twice). Other columns are not read; an empty
     table gives no rows.
     """
     known = outcomes.filter(F.col(id_col).isNotNull() & F.col("bad").isNotNull()).groupBy(id_col).agg(F.max("bad").cast("int").alias("bad"))
     url = F.coalesce(F.col(url_col), F.lit(""))
     rows = pages.select(id_col, host_of(url).alias("host"), path_of(url).alias("path"))
-    scored = materialize(reputations(rows.join(known, id_col, "left")))
+    labelled = rows.filter(F.col(id_col).isNotNull()).join(known, id_col, "left").unionByName(rows.filter(F.col(id_col).isNull()).withColumn("bad", F.lit(None).cast("int")))
+    scored = materialize(reputations(labelled, suffixes))
     total = scored.agg(F.sum("n_pages")).first()[0] or 0
     rule, verdict = apply_rules(F.col("host"), F.col("path"))
     own = F.when(F.col("bad_low") > max_bad, "block").otherwise("allow")
@@ -130,8 +145,10 @@ r AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJ
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
 k AS (SELECT doc_id, MAX(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels
       WHERE doc_id IS NOT NULL AND ((quality = 0 OR toxic = 1) IS NOT NULL) GROUP BY doc_id),
-h AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
-             COUNT(bad)::DOUBLE AS n, COALESCE(SUM(bad), 0)::DOUBLE AS x FROM r LEFT JOIN k ON r.page_id = k.doc_id GROUP BY host),
+h1n AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*)?\.*$', '') AS name, COUNT(bad)::DOUBLE AS n, COALESCE(SUM(bad), 0)::DOUBLE AS x FROM r LEFT JOIN k ON r.page_id = k.doc_id GROUP BY host),
+h2n AS (SELECT *, regexp_matches(name, '^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\]?)$') AS ip, array_to_string(string_split(name, '.')[-2:], '.') IN (<long>) AS wide FROM h1n),
+h AS (SELECT host, CASE WHEN ip THEN name WHEN wide THEN array_to_string(string_split(name, '.')[-3:], '.') ELSE array_to_string(string_split(name, '.')[-2:], '.') END AS domain,
+             CASE WHEN ip THEN '' WHEN wide THEN array_to_string(string_split(name, '.')[-2:], '.') ELSE string_split(name, '.')[-1] END AS suffix, n, x FROM h2n),
 s0 AS (SELECT suffix, SUM(n) AS n, SUM(x) AS x, (SELECT (SUM(x) + 1) / (SUM(n) + 2) FROM h) AS p FROM h GROUP BY suffix),
 s1 AS (SELECT SUM((x - n * p) ** 2 - n * p * (1 - p)) AS o, SUM(n * (n - 1) * p * (1 - p)) AS q FROM s0),
 sm AS (SELECT ROUND(1 / CASE WHEN q > 0 THEN LEAST(GREATEST(o / q, 0.001), 0.5) ELSE 0.5 END - 1, 6) AS m FROM s1),
@@ -155,4 +172,4 @@ SELECT page_id, host, path, rule,
        CASE rule WHEN 'example.com/en/7' THEN 'allow' WHEN 'example.net/de/8' THEN 'block' WHEN 'com/en/' THEN 'block' WHEN 'net/de/' THEN 'allow'
                  WHEN 'org/es/' THEN 'block' ELSE CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END END AS verdict,
        ROUND(t, 6) AS bad_mean FROM v
-"""
+""".replace("<long>", ", ".join(f"'{x}'" for x in LONG_SUFFIXES))

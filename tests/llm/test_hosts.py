@@ -1,5 +1,7 @@
+import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from cairn.llm import hosts
@@ -52,6 +54,28 @@ def test_bad_hosts_are_blocked_and_small_ones_shrink(spark):
 
 
 def test_domains_and_suffixes(spark):
-    df = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("b.com",), ("com",), ("",), ("x.y.z.de",)], "h string")
+    want = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "b.com": ("b.com", "com"), "com": ("com", "com"), "": ("", ""), "x.y.z.de": ("z.de", "de"),
+        "a.b.com:8080": ("b.com", "com"), "me:pw@a.b.co.uk:80": ("b.co.uk", "co.uk"), "b.com.": ("b.com", "com"), "192.0.2.7": ("192.0.2.7", ""), "u@192.0.2.7:99": ("192.0.2.7", ""), "[2001:db8::1]:443": ("[2001:db8::1]", ""),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "h string")
     got = {r.h: (r.d, r.s) for r in df.select("h", hosts.domain_of(F.col("h")).alias("d"), hosts.suffix_of(F.col("h")).alias("s")).collect()}
-    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "b.com": ("b.com", "com"), "com": ("com", "com"), "": ("", ""), "x.y.z.de": ("z.de", "de")}
+    assert got == want
+    own = df.filter("h = 'x.y.z.de'").select(hosts.domain_of(F.col("h"), ("z.de",)).alias("d"), hosts.suffix_of(F.col("h"), ("z.de",)).alias("s")).first()
+    assert tuple(own) == ("y.z.de", "z.de")
+
+
+def test_sql_twin_on_odd_hosts(spark, tmp_path):
+    rng = random.Random(6)
+    names = ["a.shop.co.uk", "b.shop.co.uk", "c.other.co.uk", "shop.com:8080", "me@shop.com", "x.shop.com", "192.0.2.7", "192.0.2.7:81", "192.0.2.8", "[2001:db8::1]:443", "good.org", "w.good.org", ""]
+    pages = [(i, f"http://{rng.choice(names)}/{rng.choice(('en', 'de', 'es'))}/{i}") for i in range(400)] + [(500, None), (None, "http://good.org/x")]
+    labels = [(i, rng.choice((0, 1, None)) if "shop" in (pages[i][1]) else 1, 0) for i in range(300)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    twin = con.sql(hosts.ORACLE)
+    want = sorted(twin.fetchall(), key=str)
+    got = sorted((tuple(r[c] for c in twin.columns) for r in hosts.op3_url_filter(spark, str(tmp_path)).collect()), key=str)
+    assert len(got) == 402 and got == want
