@@ -364,6 +364,32 @@ def _(s, d):
     return osm.member_diagnostics(osm.boundary_relations(relations(s, d)), lines)
 
 
+_CLOSED = {
+    "bway": "SELECT way_id, way_id % 12 AS level, COUNT(*) + CASE WHEN way_id % 3 = 0 THEN 1 ELSE 0 END AS n, way_id % 3 = 0 OR FIRST(ref ORDER BY pos, ref) = LAST(ref ORDER BY pos, ref) AS closed FROM way_refs GROUP BY way_id",
+    "found_refs": "SELECT way_id, COUNT(n.id) AS hits, COUNT(*) AS refs FROM way_refs w LEFT JOIN nodes n ON n.id = w.ref GROUP BY way_id",
+}
+
+
+@query("closed_boundaries", "SELECT 'way/' || way_id AS source, CAST(level AS INT) AS admin_level, 'Way ' || way_id AS name, n FROM bway JOIN found_refs USING (way_id) WHERE closed AND hits = refs AND n >= 4 AND level BETWEEN 2 AND 10", **_CLOSED)
+def _(s, d):
+    """Every third way returns to its first node; all are tagged as boundaries."""
+    ways = ways_with_tags(s, d).withColumn("refs", F.when(F.col("way_id") % 3 == 0, F.concat("refs", F.slice("refs", 1, 1))).otherwise(F.col("refs")))
+    tags = F.create_map(F.lit("boundary"), F.lit("administrative"), F.lit("admin_level"), (F.col("way_id") % 12).cast("string"), F.lit("name"), F.concat(F.lit("Way "), "way_id"))
+    made = osm.closed_boundaries(osm.resolve(ways.withColumn("tags", tags), nodes(s, d)))
+    return made.select("source", "admin_level", "name", F.size("ring").cast("long").alias("n"))
+
+
+@query("first_nodes", "SELECT way_id, COUNT(*) AS n, CAST(MAX_BY(lat, pos) AS DOUBLE) AS lat FROM (SELECT l_suppkey AS way_id, CAST(l_partkey / 1e3 AS FLOAT) AS lat, ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS pos FROM lineitem) WHERE pos <= 255 GROUP BY way_id")
+def _(s, d):
+    """Lines of many nodes are cut at 255."""
+    from pyspark.sql.window import Window
+
+    own = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    rows = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("way_id"), F.row_number().over(own).alias("pos"), (F.col("l_partkey") / 1e3).alias("lat"), F.lit(0.0).alias("lon"))
+    cut = fx.arrays(rows, ["way_id"], "nodes").withColumn("nodes", osm.narrow())
+    return cut.select("way_id", F.size("nodes").cast("long").alias("n"), F.element_at("nodes", -1)["lat"].cast("double").alias("lat"))
+
+
 @query("split_points", "SELECT gy, gx, COUNT(*) AS n FROM (SELECT CAST(ROUND(n.lat * 1e7) AS BIGINT) AS gy, CAST(ROUND(n.lon * 1e7) AS BIGINT) AS gx FROM way_refs w JOIN nodes n ON n.id = w.ref) GROUP BY gy, gx HAVING COUNT(*) > 1")
 def _(s, d):
     at = fx.load(s, d, "way_refs").join(nodes(s, d).withColumnRenamed("id", "ref"), "ref").select(geom.coord_key(F.col("lat"), F.col("lon")).alias("k"))
@@ -425,15 +451,26 @@ def _(s, d):
     return closed_rings(s, d).select("ring_id", geom.ring_crosses_itself(F.col("ring")).alias("crosses"))
 
 
-@query("ring_normalise", "SELECT ring_id, MIN(struct_pack(lat := lat, lon := lon)).lat AS lat, MIN(struct_pack(lat := lat, lon := lon)).lon AS lon, COUNT(*) AS n FROM rc GROUP BY ring_id", **_RINGS)
+_TURNED = _RINGS | {
+    "least": "SELECT ring_id, n, FIRST(pos ORDER BY lat, lon, pos) AS low FROM rn WHERE n >= 4 GROUP BY ring_id, n",
+    "turned": "SELECT ring_id, (pos - low + n) % n AS k, lat, lon FROM rn JOIN least USING (ring_id, n) UNION ALL SELECT ring_id, n, lat, lon FROM rn JOIN least USING (ring_id, n) WHERE pos = low",
+}
+
+
+def drawn(ring, digits=3):
+    """The ring's vertices as text."""
+    place = lambda p: F.concat_ws(" ", *(F.format_string(f"%.{digits}f", p[c]) for c in ("lat", "lon")))
+    return F.array_join(F.transform(ring, place), ",")
+
+
+@query("ring_normalise", "SELECT ring_id, string_agg(printf('%.3f %.3f', lat, lon), ',' ORDER BY k) AS ring FROM turned GROUP BY ring_id", **_TURNED)
 def _(s, d):
-    r = closed_rings(s, d).withColumn("ring", geom.rotated(F.col("ring")))
-    return r.select("ring_id", F.get("ring", F.lit(0))["lat"].alias("lat"), F.get("ring", F.lit(0))["lon"].alias("lon"), F.size("ring").cast("long").alias("n"))
+    return closed_rings(s, d).select("ring_id", drawn(geom.rotated(F.col("ring"))).alias("ring"))
 
 
 @query("simplify_polygon", None)
 def _(s, d):
-    return closed_rings(s, d).select("ring_id", F.size(geom.simplify_polygon(F.col("ring"), 5)).alias("n"))
+    return closed_rings(s, d).select("ring_id", drawn(geom.simplify_polygon(F.col("ring"), 5)).alias("ring"))
 
 
 @query("cover_edge", "SELECT way_id, cell FROM street_cells")
@@ -460,8 +497,7 @@ def _(s, d):
 def _(s, d):
     lines = osm.resolve(ways_with_tags(s, d), nodes(s, d)).filter("complete")
     made = rings.assemble(osm.complete_members(osm.boundary_relations(relations(s, d)), lines))
-    place = lambda p: F.concat_ws(" ", *(F.format_string("%.5f", p[c]) for c in ("lat", "lon")))
-    return made.select("rel_id", "ring_no", F.size("ring").alias("n"), F.array_join(F.transform("ring", place), ",").alias("ring"))
+    return made.select("rel_id", "ring_no", F.size("ring").alias("n"), drawn(F.col("ring"), 5).alias("ring"))
 
 
 # ---------------------------------------------------------------- index tables
@@ -519,6 +555,11 @@ def _(s, d):
     return index.by_continent(world_cells(s, d), 10).groupBy("continent").agg(F.countDistinct("id").alias("n"))
 
 
+@query("used_by_continent", "SELECT DISTINCT w.id, w.lat, w.lon, continent FROM world w JOIN inbox USING (id)", **_WORLD)
+def _(s, d):
+    return index.used_by_continent(fx.load(s, d, "world"), world_cells(s, d), "id", 10).select("id", "lat", "lon", "continent")
+
+
 _TABLES = {"addr_points": "addresses", "addr_cells": "addresses_c", "street_ways": "(SELECT DISTINCT way_id FROM street_nodes)", "street_cells": "street_cells", "interp_ways": "ends", "interp_cells": "interp_cells", "admin_polygons": "areas"}
 
 
@@ -666,7 +707,11 @@ def _(s, d):
     return access.daily_usage(access.limit_rate(requests(s, d))).withColumn("day", F.col("day").cast("string"))
 
 
-@query("serve_requests", "SELECT req_id, status, CASE status WHEN 429 THEN 'Rate limit exceeded' WHEN 401 THEN CASE WHEN token IS NULL THEN 'Missing API key' ELSE 'Invalid API key' END END AS body FROM limited WHERE status <> 200", **_REQ)
+@query(
+    "serve_requests",
+    f"SELECT req_id, status, CASE status WHEN 200 THEN body WHEN 429 THEN 'Rate limit exceeded' WHEN 401 THEN CASE WHEN token IS NULL THEN 'Missing API key' ELSE 'Invalid API key' END END AS body FROM limited LEFT JOIN (SELECT qid, '{{' || concat_ws(',', '\"display_name\":\"' || display_name || '\"', {_JSON}) || '}}' AS body FROM formatted) ON qid = req_id",
+    **_REQ, **_FORMATTED,
+)
 def _(s, d):
-    answers = s.createDataFrame([], "qid long, json string")
-    return access.respond(access.limit_rate(requests(s, d), "minute", "day"), answers).filter("status <> 200")
+    answers = address_cases(s, d).select("qid", address.address_json(F.col).alias("json"))
+    return access.respond(access.limit_rate(requests(s, d), "minute", "day"), answers)

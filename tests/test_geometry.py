@@ -83,6 +83,41 @@ def test_simplify():
     assert geom.fitted(ring, 4000) is ring
 
 
+def plain_simplified(points, tolerance):
+    """Douglas-Peucker by recursion, one point at a time."""
+    if len(points) < 3:
+        return points
+    (ay, ax), (by, bx) = points[0], points[-1]
+    far, at = -1.0, 0
+    for k in range(1, len(points) - 1):
+        y, x = points[k]
+        n = (by - ay) ** 2 + (bx - ax) ** 2
+        t = min(1, max(0, ((y - ay) * (by - ay) + (x - ax) * (bx - ax)) / n)) if n else 0
+        d = ((y - ay - t * (by - ay)) ** 2 + (x - ax - t * (bx - ax)) ** 2) ** 0.5
+        if d > far:
+            far, at = d, k
+    if far <= tolerance:
+        return [points[0], points[-1]]
+    return plain_simplified(points[: at + 1], tolerance)[:-1] + plain_simplified(points[at:], tolerance)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.floats(-1, 1), st.floats(-1, 1)), min_size=3, max_size=40), st.integers(3, 12))
+def test_simplify_against_recursion(points, most):
+    ring = [*points, points[0]]
+    for tolerance in (0.0, 0.05, 0.5):
+        assert geom.simplified(np.array(ring), tolerance).tolist() == [list(p) for p in plain_simplified(ring, tolerance)]
+    got = geom.fitted(np.array(ring), most)
+    if len(ring) > most:
+        low, high = 0.0, 1.0
+        for _ in range(20):
+            mid = (low + high) / 2
+            low, high = (mid, high) if len(plain_simplified(ring, mid)) > most else (low, mid)
+        assert got.tolist() == [list(p) for p in plain_simplified(ring, high)]
+    else:
+        assert len(got) == len(ring)
+
+
 def test_known_cells_of_the_public_library():
     # level-30 ids of two published points
     assert hex(int(cells.hilbert(cells.keys([49.703498679], [11.770681595], 30), 30)[0]) & (1 << 64) - 1).startswith("0x47a1cbd5")
