@@ -22,7 +22,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its secrets are masked in the text, and n_chars follows."""
-    masked = secrets.redact(secrets.find_secrets(docs))
+    masked = secrets.redact(secrets.find_secrets(docs, into="_cairn_secrets"), secrets_col="_cairn_secrets")
     return masked.selectExpr(*(f"CAST(length(text) AS {k}) AS n_chars" if c == "n_chars" else c for c, k in masked.dtypes))
 
 
