@@ -3,7 +3,10 @@
 The posterior of a text's language multiplies four kinds of evidence: the likelihood of its byte trigrams
 (counted over all declared texts), the language that its markup declares, the country suffix of its
 address, and a prior of its host. Priors are grouped counts of declared languages, smoothed down the
-hierarchy: all rows, suffix, registered domain, host.
+hierarchy: all rows, suffix, registered domain, host. A row's own declaration is left out of its prior.
+
+Every declared language is a class of its own, up to LANGUAGES of them; beyond that the rarest ones together
+are the class OTHER, with its own trigrams and prior, so that their texts get no other language's name.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 from cairn.llm.common import hot_join, materialize, read, slices, with_fields
 from cairn.llm.hosts import domain_of, host_of, suffix_of
 
-#: Languages declared by fewer than one in this many declared rows are not told apart (so there are no more).
-RARE = 100
+#: Classes of their own, at most, and the name of what is left.
+LANGUAGES, OTHER = 255, "und"
 #: Hashed trigrams; trigrams whose evidence a text can bring at most (neighbours are not independent).
 BUCKETS, EVIDENCE = 1 << 15, 200
 #: How often markup tells the language right, and how often a country's suffix does.
@@ -30,7 +33,6 @@ STRENGTH = 20.0
 KEEP = 0.5
 #: Suffixes that speak for a language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "co.uk": "en", "com.au": "en", "com.mx": "es", "com.ar": "es"}
-ADD = 16
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -46,110 +48,119 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def languages(declared: DataFrame, lang_col: str = "lang") -> list[str]:
-    counts = materialize(declared.filter(F.col(lang_col).isNotNull()).groupBy(lang_col).count())
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return sorted(r[0] for r in counts.filter(F.col("count") * RARE >= total).collect())  # RARE at most
+    """The classes: declared languages by name (a declared OTHER says nothing), and OTHER if there are more."""
+    counts = materialize(declared.filter(F.col(lang_col) != OTHER).groupBy(lang_col).count())
+    own = sorted(r[0] for r in counts.orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect())
+    return own + [OTHER] * (counts.count() > LANGUAGES)
+
+
+def class_of(lang: Column, langs: list[str]) -> Column:
+    """Index into ``langs``; of OTHER, if there is one, for a language that is none of them; null if none is told."""
+    own = F.create_map(*(F.lit(x) for k, c in enumerate(langs) if c != OTHER for x in (c, k)))[lang] if langs and langs[0] != OTHER else F.lit(None).cast("int")
+    return F.when(lang != OTHER, F.coalesce(own, F.lit(len(langs) - 1)) if OTHER in langs else own)
 
 
 def fit(declared: DataFrame, langs: list[str], text_col: str = "text", lang_col: str = "lang") -> np.ndarray:
-    """Log-probability of each trigram by language, from all declared rows. Sums meet in levels of ADD."""
+    """Log-probability of each trigram by class, from all declared rows: counts are grouped by (class, trigram)."""
 
     def count(batches):
-        held = np.zeros((len(langs), BUCKETS))
-        at = {c: k for k, c in enumerate(langs)}
+        held = np.zeros((len(langs), BUCKETS), np.int64)
         for batch in batches:
             for part in slices(batch):
                 code, doc = trigrams(part.column(0).to_pylist())
-                lang = np.array([at.get(c, -1) for c in part.column(1).to_pylist()])[doc] if len(doc) else doc
-                known = lang >= 0
-                held += np.bincount(lang[known] * BUCKETS + code[known], minlength=held.size).reshape(held.shape)
-        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], names=["v"])
-
-    def add(batches):
-        total = None
-        for batch in batches:
-            for v in batch.column(0):
-                x = np.frombuffer(v.as_py())
-                total = x if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+                held += np.bincount(part.column(1).to_numpy()[doc].astype(np.int64) * BUCKETS + code, minlength=held.size).reshape(held.shape)
+        cls, bucket = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int32()), pa.array(bucket, pa.int32()), pa.array(held[cls, bucket])], names=["cls", "bucket", "n"])
 
     if not langs:
         return np.zeros((0, BUCKETS))
-    kind = "v binary"
-    sums = materialize(declared.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(count, kind))
-    while (n := sums.count()) > ADD:
-        sums = materialize(sums.repartition(-(-n // ADD)).mapInArrow(add, kind))
-    counts = sum((np.frombuffer(r.v) for r in sums.collect()), np.zeros(len(langs) * BUCKETS)).reshape(len(langs), BUCKETS) + 0.5
+    told = declared.select(F.col(text_col).alias("text"), class_of(F.col(lang_col), langs).alias("cls")).filter("cls IS NOT NULL")
+    sums = told.mapInArrow(count, "cls int, bucket int, n long").groupBy("cls", "bucket").agg(F.sum("n").alias("n")).toArrow()  # len(langs) * BUCKETS rows at most
+    counts = np.full((len(langs), BUCKETS), 0.5)
+    counts[sums.column("cls").to_numpy(), sums.column("bucket").to_numpy()] += sums.column("n").to_numpy()
     return np.log(counts / counts.sum(1, keepdims=True))
 
 
-def host_priors(rows: DataFrame, langs: list[str]) -> DataFrame:
-    """``rows`` (host, declared) -> (host, n rows, prior array<double> in the order of ``langs``)."""
-    each = F.array(*(F.sum(F.when(F.col("declared") == c, 1).otherwise(0)).cast("double") for c in langs))
-    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), each.alias("c"))
-    hosts = materialize(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
-    sums = F.array(*(F.sum(F.get("c", F.lit(k))) for k in range(len(langs))))
-    total = hosts.agg(sums.alias("c")).first().c
-    flat = [((x or 0) + 1) / (sum(y or 0 for y in total) + len(langs)) for x in total]
+def host_counts(rows: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """``rows`` (host, cls) -> a table (host, n rows; and of host, domain and suffix the counts by class as a map
+    and their sum), and the counts of all rows."""
+    each = materialize(rows.groupBy("host", "cls").agg(F.count(F.lit(1)).alias("n")))
+    each = each.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    told = each.filter("cls IS NOT NULL")
 
-    def smooth(c: Column, above: Column) -> Column:
-        n = F.aggregate(c, F.lit(0.0), lambda t, x: t + x)
-        return F.zip_with(c, above, lambda x, p: (x + STRENGTH * p) / (n + STRENGTH))
+    def level(key: str) -> DataFrame:
+        own = told.groupBy(key, "cls").agg(F.sum("n").alias("n"))
+        return own.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("cls", "n"))).alias(f"{key}_by"), F.sum("n").alias(f"{key}_n"))
 
-    suffixes = hosts.groupBy("suffix").agg(sums.alias("c")).select("suffix", smooth(F.col("c"), F.array(*map(F.lit, flat))).alias("up"))
-    domains = hosts.groupBy("domain", "suffix").agg(sums.alias("c")).join(suffixes, "suffix").select("domain", smooth(F.col("c"), F.col("up")).alias("up"))
-    return materialize(hosts.join(domains, "domain").select("host", "n", smooth(F.col("c"), F.col("up")).alias("prior")))
+    table = each.groupBy("host", "domain", "suffix").agg(F.sum("n").alias("n"))
+    for key in ("host", "domain", "suffix"):
+        table = table.join(level(key), key, "left")
+    return materialize(table.drop("domain", "suffix")), {r.cls: r.n for r in told.groupBy("cls").agg(F.sum("n").alias("n")).collect()}
 
 
-def identify(rows: DataFrame, model: np.ndarray, langs: list[str], id_col: str, keep: float = KEEP) -> DataFrame:
-    """``rows`` (id, text, declared, host) -> (id, declared, predicted, posterior, kept).
+def identify(rows: DataFrame, model: np.ndarray, langs: list[str], id_cols: list[str], keep: float = KEEP) -> DataFrame:
+    """``rows`` (ids, text, declared, host) -> (ids, declared, predicted, posterior, kept).
 
-    Each missing kind of evidence says nothing: a null or empty text, a null or unknown declared language, a
-    null host or neutral suffix. Without any language to tell apart, predicted is null and nothing is kept.
-    Rows without id and repeated rows are judged as any other; an empty table gives no rows.
+    Each missing kind of evidence says nothing: a null or empty text, a null declared language (or one that is
+    no class), a null host or neutral suffix. Without any language to tell apart, predicted is null and
+    nothing is kept. Rows without id and repeated rows are judged as any other; an empty table gives no rows.
     """
-    rows = rows.select(id_col, "text", "declared", F.coalesce("host", F.lit("")).alias("host"))
+    rows = rows.select(*id_cols, "text", "declared", F.coalesce("host", F.lit("")).alias("host"))
     if not langs:
-        return rows.select(id_col, "declared", F.lit(None).cast("string").alias("predicted"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept"))
-    priors = host_priors(rows, langs)
-    total = priors.agg(F.sum("n")).first()[0] or 0
+        return rows.select(*id_cols, "declared", F.lit(None).cast("string").alias("predicted"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept"))
+    rows = rows.withColumn("cls", class_of(F.col("declared"), langs))
+    table, total = host_counts(rows)
+    n = table.agg(F.sum("n")).first()[0] or 0
     sent = rows.sparkSession.sparkContext.broadcast(model)
+    plain = rows.drop("text")
+    names = plain.columns
 
     def run(batches):
-        table = sent.value
+        of = sent.value
         for batch in batches:
-            for part in slices(batch):
-                code, doc = trigrams(part.column(1).to_pylist())
-                n = np.bincount(doc, minlength=part.num_rows)
-                ll = np.stack([np.bincount(doc, t[code], part.num_rows) for t in table], 1) * np.minimum(1, EVIDENCE / np.maximum(n, 1))[:, None]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(ll.tolist(), pa.list_(pa.float64()))], names=[id_col, "declared", "host", "text_log"])
-
-    plain = rows.drop("text")
-    scored = hot_join(rows.mapInArrow(run, with_fields(plain, text_log="array<double>")), priors, "host", "n", total)
-    others = max(1, len(langs) - 1)
-    told = lambda c, value, right: F.when(value == c, log(right)).when(value.isin(*langs), log((1 - right) / others)).otherwise(0.0)
-    speaks = F.create_map(*(F.lit(x) for p in SUFFIXES.items() for x in p))[suffix_of(F.col("host"))]
-    logs = F.array(*(F.get("text_log", F.lit(k)) + told(c, F.col("declared"), DECLARED) + told(c, F.col("speaks"), SUFFIX) + F.log(F.get("prior", F.lit(k))) for k, c in enumerate(langs)))
-    scored = scored.withColumn("speaks", speaks).withColumn("logs", logs).withColumn("top", F.array_max("logs"))
+            for part in slices(batch, "text"):
+                code, doc = trigrams(part.column(part.schema.get_field_index("text")).to_pylist())
+                many = np.bincount(doc, minlength=part.num_rows)
+                ll = np.stack([np.bincount(doc, t[code], part.num_rows) for t in of], 1) * np.minimum(1, EVIDENCE / np.maximum(many, 1))[:, None]
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * len(of), pa.int32()), pa.array(ll.ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), flat], names=[*names, "text_log"])
+
+    scored = hot_join(rows.mapInArrow(run, with_fields(plain, text_log="array<double>")), table, "host", "n", n)
+    size, every = len(langs), sum(total.values())
+    all_counts = F.array(*(F.lit(float(total.get(k, 0))) for k in range(size)))
+    has = F.when(F.col("cls").isNotNull(), 1.0).otherwise(0.0)
+    speaks = class_of(F.create_map(*(F.lit(x) for p in SUFFIXES.items() for x in p))[suffix_of(F.col("host"))], langs)
+    speaks = F.when(speaks != size - 1, speaks) if OTHER in langs else speaks
+    scored = scored.withColumns({"speaks": speaks, "has": has})
+    told = lambda k, said, right: F.when(said.isNull(), 0.0).when(said == k, log(right)).otherwise(log((1 - right) / max(1, size - 1)))
+
+    def prior(k):
+        own = F.when(F.col("cls") == k, 1.0).otherwise(0.0)
+        p = (F.get(all_counts, k) - own + 1) / (every - F.col("has") + size)
+        for key in ("suffix", "domain", "host"):
+            x = F.coalesce(F.try_element_at(F.col(f"{key}_by"), k), F.lit(0)) - own
+            p = (x + STRENGTH * p) / (F.coalesce(F.col(f"{key}_n"), F.lit(0)) - F.col("has") + STRENGTH)
+        return p
+
+    logs = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.get("text_log", k) + told(k, F.col("cls"), DECLARED) + told(k, F.col("speaks"), SUFFIX) + F.log(prior(k)))
+    scored = scored.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
     scored = scored.withColumn("posterior", 1 / F.aggregate("logs", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top"))))
     best = F.get(F.array(*map(F.lit, langs)), (F.array_position("logs", F.col("top")) - 1).cast("int"))
-    return scored.select(id_col, "declared", best.alias("predicted"), "posterior", (F.col("posterior") >= keep).alias("kept"))
+    return scored.select(*id_cols, "declared", best.alias("predicted"), "posterior", (F.col("posterior") >= keep).alias("kept"))
 
 
-def op4_language(spark, sf_dir: str) -> DataFrame:
-    """All documents: their text, declared language and source (as host)."""
-    docs = read(spark, sf_dir, "documents")
-    langs = languages(docs)
-    rows = docs.select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
-    return identify(rows, fit(docs, langs), langs, "doc_id").withColumn("posterior", F.round("posterior", 6))
+def page_rows(pages: DataFrame) -> DataFrame:
+    """(page_id, text, declared, host): visible text, the markup's lang, the url's host."""
+    html = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]+)", 1))
+    return pages.select("page_id", F.regexp_replace(html, "<[^>]*>", " ").alias("text"), F.when(declared != "", declared).alias("declared"), host_of(F.coalesce("url", F.lit(""))).alias("host"))
 
 
-def pages_language(spark, sf_dir: str) -> DataFrame:
-    """All pages: visible text, the markup's lang, the url's suffix and host; trigrams as counted in documents."""
-    docs, pages = read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages")
+def op4_language(spark, sf_dir: str) -> DataFrame:
+    """All documents (their text, declared language, source as host; neither markup nor address) and all pages
+    (visible text, the markup's lang, the url's suffix and host), judged together; trigrams are counted in documents."""
+    docs = read(spark, sf_dir, "documents")
     langs = languages(docs)
-    html = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]+)", 1))
-    rows = pages.select("page_id", F.regexp_replace(html, "<[^>]*>", " ").alias("text"), declared.alias("declared"), host_of(F.coalesce("url", F.lit(""))).alias("host"))
-    return identify(rows, fit(docs, langs), langs, "page_id").withColumn("posterior", F.round("posterior", 6))
+    own = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    pages = page_rows(read(spark, sf_dir, "pages")).withColumn("doc_id", F.lit(None).cast("long"))
+    return identify(own.unionByName(pages), fit(docs, langs), langs, ["doc_id", "page_id"]).withColumn("posterior", F.round("posterior", 6))

@@ -13,6 +13,5 @@ QUERIES = {
     "op8_lm": lm.op8_lm,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
-    "pages_language": language.pages_language,
 }
 ORACLES = {"op3_url_filter": hosts.ORACLE, "op6_lines": lines.ORACLE, "op10_mixing": mixing.ORACLE}
