@@ -58,9 +58,12 @@ def _through(spark, df: DataFrame, start: Callable[[DataFrame, str], object], na
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        import atexit
+        import shutil
         import tempfile
 
         base = tempfile.mkdtemp(prefix="cairn-stream-")
+        atexit.register(shutil.rmtree, base, True)
     path = f"{base.rstrip('/')}/cairn-{name}-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/in")
     start(spark.readStream.schema(df.schema).parquet(f"{path}/in"), path).awaitTermination()
