@@ -18,6 +18,8 @@ LANES, WINDOW = 512, 32
 FULL = LANES * WINDOW // 4
 #: Steps in a window of few lanes, at most.
 LONGEST = 512
+#: Rows of a softmax that are worked on at once.
+BLOCK = 4096
 
 
 @dataclass
@@ -63,11 +65,11 @@ class Lanes:
     def windows(self):
         """For each window, the steps' positions: active lanes are always the first ones. Few lanes: longer windows."""
         top = int(self.length[0]) if len(self.length) else 0
-        alive = lambda s: int(np.searchsorted(-self.length, -s, "left"))
+        alive = np.searchsorted(-self.length, -np.arange(top), "left").tolist()
         t = 0
         while t < top:
-            end = min(t + max(WINDOW, min(LONGEST, FULL // alive(t))), top)
-            yield [self.order[self.start[: alive(s)] + s] for s in range(t, end)]
+            end = min(t + max(WINDOW, min(LONGEST, FULL // alive[t])), top)
+            yield [self.order[self.start[: alive[s]] + s] for s in range(t, end)]
             t = end
 
 
@@ -79,8 +81,8 @@ class Trail:
     edges: list[tuple[int, int]]
     stay: np.ndarray
     starts: np.ndarray
-    gates: np.ndarray
     states: np.ndarray
+    gates: np.ndarray | None = None
     before: np.ndarray | None = None
     inner: np.ndarray | None = None
 
@@ -122,71 +124,86 @@ class Gru:
 
     def _run(self, window, given, fresh, h, keep) -> Trail:
         """The window's states, step after step in one array, and for backpropagation what made them."""
-        u, k = self.p["u"], self.shape.hidden
+        x, u, k = self.p["x"], self.p["u"], self.shape.hidden
         pos = np.concatenate(window)
         ends = np.cumsum([len(p) for p in window])
         edges = list(zip((ends - [len(p) for p in window]).tolist(), ends.tolist(), strict=True))
-        stay = (1 - fresh[pos])[:, None]
-        t = Trail(pos, edges, stay, np.minimum.reduceat(stay[:, 0], [a for a, _ in edges]) == 0, self.p["x"][given[pos]], np.empty((len(pos), k), u.dtype))
+        stay, of = (1 - fresh[pos])[:, None], given[pos]
+        t = Trail(pos, edges, stay, np.minimum.reduceat(stay[:, 0], [a for a, _ in edges]) == 0, np.empty((len(pos), k), u.dtype))
         if keep:
-            t.before, t.inner = np.empty_like(t.states), np.empty_like(t.states)
+            t.gates, t.before, t.inner = np.empty((len(pos), 3 * k), u.dtype), np.empty_like(t.states), np.empty_like(t.states)
+        scratch = np.empty((len(window[0]), 3 * k), u.dtype)  # steps only get narrower
         for (a, b), starts in zip(edges, t.starts, strict=True):
             h = h[: b - a] * stay[a:b] if starts else h[: b - a]
             own = h @ u
-            gate, new, out = t.gates[a:b, : 2 * k], t.gates[a:b, 2 * k :], t.states[a:b]
+            whole = t.gates[a:b] if keep else scratch[: b - a]
+            np.take(x, of[a:b], axis=0, out=whole, mode="clip")
+            gate, new, out = whole[:, : 2 * k], whole[:, 2 * k :], t.states[a:b]
             gate += own[:, : 2 * k]
             gate *= 0.5
             np.tanh(gate, out=gate)
             gate *= 0.5
             gate += 0.5
-            new += gate[:, :k] * own[:, 2 * k :]
+            inner = own[:, 2 * k :]
+            if keep:
+                t.before[a:b], t.inner[a:b] = h, inner
+            inner *= gate[:, :k]
+            new += inner
             np.tanh(new, out=new)
             np.subtract(h, new, out=out)
             out *= gate[:, k:]
             out += new
-            if keep:
-                t.before[a:b], t.inner[a:b] = h, own[:, 2 * k :]
             h = out
         return t
 
     @staticmethod
     def _part(hs, w, b, pick, want_grads: bool):
-        """Log-probability of the picked column of each row, and the gradient of the logits."""
+        """Log-probability of the picked column of each row, or the gradient of the logits."""
         e = hs @ w
         e += b
         e -= e.max()  # one for all: rows do not lie far apart
         rows = np.arange(len(pick))
-        target = e[rows, pick]
+        target = None if want_grads else e[rows, pick]
         np.exp(e, out=e)
         total = np.maximum(e @ np.ones(e.shape[1], e.dtype), 1e-30)
         if want_grads:
             e *= (-1 / total)[:, None]
             e[rows, pick] += 1
+            return None, e
         return target - np.log(total), e
 
     def _softmax(self, hs, want, grads=None):
-        """Natural log-probability of each wanted token (for rare ones: of their class); gradients if asked for."""
+        """Natural log-probability of each wanted token (for rare ones: of their class); or gradients, if asked for."""
         s, p, learn = self.shape, self.p, grads is not None
-        cls = np.where(want < s.words, want // s.members, want - s.words + s.classes)
-        order = np.argsort(cls, kind="stable")
+        cls = np.where(want < s.words, want // s.members, want - s.words + s.classes).astype(np.int16)
+        order = np.argsort(cls, kind="stable")  # by radix
         hs, cls, member = hs[order], cls[order], want[order] % s.members
         edges = np.searchsorted(cls, np.arange(s.classes + 1)).tolist()
-        lp, e = self._part(hs, p["wc"], p["bc"], cls, learn)
-        dh = None
+        lp, dh = np.empty(len(order)), np.empty_like(hs) if learn else None
         if learn:
-            grads["wc"], grads["bc"], dh = hs.T @ e, e.sum(0), e @ p["wc"].T
-            grads["ww"], grads["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
+            grads |= {k: np.zeros_like(p[k]) for k in ("wc", "bc", "ww", "bw")}
+        for a in range(0, len(order), BLOCK):  # of rows that stay in the cache
+            b = min(a + BLOCK, len(order))
+            found, e = self._part(hs[a:b], p["wc"], p["bc"], cls[a:b], learn)
+            if learn:
+                grads["wc"] += hs[a:b].T @ e
+                grads["bc"] += e.sum(0)
+                np.matmul(e, p["wc"].T, out=dh[a:b])
+            else:
+                lp[a:b] = found
         for c, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
             if a == b:
                 continue
-            more, e = self._part(hs[a:b], p["ww"][c], p["bw"][c], member[a:b], learn)
-            lp[a:b] += more
+            found, e = self._part(hs[a:b], p["ww"][c], p["bw"][c], member[a:b], learn)
             if learn:
                 grads["ww"][c], grads["bw"][c] = hs[a:b].T @ e, e.sum(0)
                 dh[a:b] += e @ p["ww"][c].T
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        return lp[back].astype(np.float64), dh[back] if learn else None
+            else:
+                lp[a:b] += found
+        made = dh if learn else lp
+        back = np.empty_like(made)
+        back[order] = made
+        return back
 
     def score(self, given, want, fresh, lanes: Lanes) -> np.ndarray:
         """Log-probability (natural) of every position."""
@@ -195,7 +212,7 @@ class Gru:
         for window in lanes.windows():
             t = self._run(window, given, fresh, h, False)
             h = t.last
-            lp[t.pos] = self._softmax(t.states, want[t.pos])[0]
+            lp[t.pos] = self._softmax(t.states, want[t.pos])
         return lp
 
     def train(self, given, want, fresh, lanes: Lanes, rate: float = 0.005) -> int:
@@ -205,34 +222,38 @@ class Gru:
             t = self._run(window, given, fresh, h, True)
             h = t.last
             grads: dict[str, np.ndarray] = {}
-            _, dhs = self._softmax(t.states, want[t.pos], grads)
-            self._back(t, given, dhs, grads)
+            self._back(t, given, self._softmax(t.states, want[t.pos], grads), grads)
             self._step(grads, len(t.pos), rate)
         return len(want)
 
     def _back(self, t: Trail, given, dhs, grads):
         k = self.shape.hidden
-        r, z, n = t.gates[:, :k], t.gates[:, k : 2 * k], t.gates[:, 2 * k :]
-        to_new, to_r, to_z = (1 - z) * (1 - n * n), t.inner * r * (1 - r), (t.before - n) * z * (1 - z)
         dx, dnew, down = np.empty_like(t.gates), np.empty_like(t.states), np.ascontiguousarray(self.p["u"].T)
         carried = dhs[:0]
-        for (a, b), starts in zip(reversed(t.edges), t.starts[::-1], strict=True):
+        for (a, b), starts in zip(reversed(t.edges), t.starts[::-1], strict=True):  # what a step needs stays in the cache
+            r, z, n = t.gates[a:b, :k], t.gates[a:b, k : 2 * k], t.gates[a:b, 2 * k :]
             dh, d, dn = dhs[a:b], dx[a:b], dnew[a:b]
             dh[: len(carried)] += carried
-            np.multiply(dh, to_new[a:b], out=dn)
-            np.multiply(dn, to_r[a:b], out=d[:, :k])
-            np.multiply(dh, to_z[a:b], out=d[:, k : 2 * k])
-            np.multiply(dn, r[a:b], out=d[:, 2 * k :])
+            kept = dh * z
+            np.subtract(dh, kept, out=dn)
+            dn *= 1 - n * n
+            np.multiply(dn, r, out=d[:, 2 * k :])
+            to_r = t.inner[a:b] * d[:, 2 * k :]
+            np.multiply(to_r, 1 - r, out=d[:, :k])
+            to_z = t.before[a:b] - n
+            to_z *= kept
+            np.multiply(to_z, 1 - z, out=d[:, k : 2 * k])
             carried = d @ down
-            carried += dh * z[a:b]
+            carried += kept
             if starts:
                 carried *= t.stay[a:b]
         grads["u"] = t.before.T @ dx
         dx[:, 2 * k :] = dnew
-        of = given[t.pos]
+        of = given[t.pos].astype(np.int16 if len(self.p["x"]) < 1 << 15 else np.int32)
         order = np.argsort(of, kind="stable")
-        rows = np.flatnonzero(np.append(True, np.diff(of[order]) > 0))
-        grads["x"] = (of[order][rows], np.add.reduceat(dx[order], rows, axis=0))
+        of = of[order]
+        rows = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        grads["x"] = (of[rows], np.add.reduceat(dx[order], rows, axis=0))
 
     def _step(self, grads, n: int, rate: float):
         """Adam, upwards; rows of ``x`` that were not given are left alone. Windows of few tokens move less."""

@@ -3,6 +3,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cairn.llm import lm
@@ -43,6 +44,23 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert lm.fit_and_score(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def plain_class(token):
+    band = (len(token) > 4) + (len(token) > 7) + (len(token) > 11)
+    wide = [c for c in token if c > 127][:2]
+    return 4 * (1 + sum(wide) % 3) + band if wide else band
+
+
+def test_split_and_classes_against_plain_ones():
+    texts = [None, "", " \t\n", "One  two\x0bthree\n", "é Été ÀB日本語\u3000x \x1cy", "a" * 5000, "word"] * 3
+    column = pa.array(["out of sight", *texts]).slice(1)
+    found, sizes = lm.split(column)
+    want = [lm.tokens(t) for t in texts]
+    assert sizes.tolist() == list(map(len, want)) and found.to_pylist() == [t for own in want for t in own]
+    assert lm.rare_classes(found).tolist() == [plain_class(t) for t in found.to_pylist()]
+    assert lm.rare_classes(found.slice(3, 9)).tolist() == [plain_class(t) for t in found.slice(3, 9).to_pylist()]
+    assert lm.rare_classes(found.slice(0, 0)).tolist() == []
+
+
 def network(seed=0):
     rng = np.random.default_rng(seed)
     shape = Shape(3, 4, 2, 5)
