@@ -18,21 +18,48 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key with more than one in HOT_SHARE of all rows is hot; at most HOT_SHARE keys can be.
 HOT_SHARE = 512
-#: Bytes of text that an Arrow function works on at once.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that an Arrow function works on at once; bytes of an Arrow batch.
+CHUNK_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
+#: Narrow rows (of about 100 bytes) that are broadcast, at most.
+FEW_ROWS = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The table. Where the session has no own size of Arrow batches, BATCH_BYTES is set: executors hold
+    several batches in the JVM and in Python, and texts make the usual ones large."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") in ("67108864b", "64m", "67108864"):
+        spark.conf.set(name, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """``df`` (a written table of narrow rows), to be broadcast if it has ``rows`` at most; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+#: Folders that this process has written to.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; below a temporary one only where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = tempfile.mkdtemp(prefix="cairn-")
         atexit.register(shutil.rmtree, base, True)
-    return f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes all intermediate tables that this process has written; results that read them are of no more use.
+    How many there were."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def materialize(df: DataFrame) -> DataFrame:

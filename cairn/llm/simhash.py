@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import hot_join, materialize, read, slices
+from cairn.llm.common import hot_join, materialize, read, slices, small
 from cairn.llm.graph import components
 
 BITS, FAN = 64, 16
@@ -395,7 +395,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.md5(F.concat(F.coalesce(F.concat(F.col(id_col).cast("string"), F.lit("|")), F.lit("")), text).cast("binary"))
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.col(id_col).cast("string"), F.lit("|")), F.lit("")), text).cast("binary")))
     keyed = docs.withColumn("_cairn_key", key)
 
     def sketch(batches):
@@ -414,7 +414,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["loose", "n", "node", "shingles"])
 
     rows = keyed.select(F.col(id_col).alias("id"), F.col("_cairn_key").alias("row"), text.alias("text"))
-    rows = materialize(rows.mapInArrow(sketch, f"id {kind}, row string, print binary, bands array<long>, fp long"))
+    rows = materialize(rows.mapInArrow(sketch, f"id {kind}, row binary, print binary, bands array<long>, fp long"))
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "row")
     distinct = rows.groupBy("print").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp"))
     distinct = materialize(distinct.withColumn("node", F.xxhash64("print")))
@@ -429,15 +429,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     again = materialize(rows.groupBy("row").count().filter("count > 1").select(F.col("row").alias("_cairn_key")))
     some_again = not again.isEmpty()
     wanted = materialize(distinct.select("node", F.col("best.row").alias("_cairn_key")).join(loose, "node"))
-    texts = keyed.select("_cairn_key", text.alias("text")).join(wanted, "_cairn_key")
+    texts = keyed.select("_cairn_key", text.alias("text")).join(small(wanted), "_cairn_key")
     texts = texts.dropDuplicates(["_cairn_key"]) if some_again else texts
     sets = materialize(texts.select("text", "loose", "n", "node").mapInArrow(sets_of, "loose long, n long, node long, shingles array<long>"))
     groups = materialize(similar_groups(sets, tied.select("key", "node").union(pair), similarity))
     named = distinct.join(groups, "node", "left").select("print", "n", "best", F.coalesce("component", "node").alias("group"))
-    first = named.groupBy("group").agg(F.min("best").alias("first"))
-    named = materialize(named.join(first, "group").select("print", F.col("first.row").alias("first"), "n"))
+    named = materialize(named)
+    first = materialize(named.groupBy("group").agg(F.min("best").alias("first"), F.count(F.lit(1)).alias("m")))
+    named = materialize(hot_join(named, first, "group", "m", named.count()).select("print", F.col("first.row").alias("first"), "n"))
     gone = hot_join(rows.select("row", "print"), named, "print", "n", rows.count()).filter(F.col("first") != F.col("row")).select(F.col("row").alias("_cairn_key"))
-    kept = keyed.join(materialize(gone), "_cairn_key", "left_anti")
+    kept = keyed.join(small(materialize(gone)), "_cairn_key", "left_anti")
     if some_again:
         kept = kept.join(again, "_cairn_key", "left_anti").unionByName(kept.join(again, "_cairn_key", "left_semi").dropDuplicates(["_cairn_key"]))
     return kept.select(*docs.columns)
