@@ -57,23 +57,38 @@ FAMILY_OF = (0, 1, 1, -1, -1, -1, -1, -1, -1, -1, -1, -1)
 FOLD = 256
 
 
+def _let(x: Column, body) -> Column:
+    """``body`` of x, which is computed once however often it is named there."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def before(x: Column, join, zero: int = 0) -> Column:
     """What ``join`` (sum, greatest) makes of all members before each member of an array<int>, and of all at the
     end: one member more than ``x``. Blocks of FOLD are joined first, as each step of a fold copies its array."""
     add = lambda acc, v: F.array_append(acc, join(F.element_at(acc, -1), v))
     start = lambda v: F.array(v).cast("array<int>")
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(FOLD)), lambda i: F.slice(x, i + 1, F.lit(FOLD)))
-    heads = F.aggregate(F.transform(blocks, lambda c: F.aggregate(c, F.lit(zero), join)), start(F.lit(zero)), add)
-    inner = F.zip_with(blocks, F.slice(heads, F.lit(1), F.size(blocks)), lambda c, h: F.slice(F.aggregate(c, start(h), add), F.lit(1), F.size(c)))
-    return F.concat(F.flatten(inner), F.slice(heads, F.lit(-1), F.lit(1)))
+
+    def through(blocks, heads):
+        inner = F.zip_with(blocks, F.slice(heads, F.lit(1), F.size(blocks)), lambda c, h: F.slice(F.aggregate(c, start(h), add), F.lit(1), F.size(c)))
+        return F.concat(F.flatten(inner), F.slice(heads, F.lit(-1), F.lit(1)))
+
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(FOLD)), lambda i: F.slice(x, i + 1, F.lit(FOLD)))
+    heads = lambda blocks: F.aggregate(F.transform(blocks, lambda c: F.aggregate(c, F.lit(zero), join)), start(F.lit(zero)), add)
+    return _let(x, lambda x: _let(cut(x), lambda blocks: _let(heads(blocks), lambda h: through(blocks, h))))
 
 
 def spans(text: Column, pattern: str) -> Column:
     """All leftmost matches, as array<struct<start, end, found>> in code points: gaps and matches take turns."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.transform(found, lambda x, i: F.length(F.get(gaps, i)) + F.length(x))
-    ends = F.slice(before(steps, lambda a, b: a + b), F.lit(2), F.size(found))
-    return F.zip_with(found, ends, lambda x, e: F.struct((e - F.length(x)).alias("start"), e.alias("end"), x.alias("found")))
+
+    def placed(p):
+        found = p["found"]
+        steps = F.zip_with(found, F.slice(p["gaps"], F.lit(1), F.size(found)), lambda x, gap: F.length(gap) + F.length(x))
+        ends = F.slice(before(steps, lambda a, b: a + b), F.lit(2), F.size(found))
+        return F.zip_with(found, ends, lambda x, e: F.struct((e - F.length(x)).alias("start"), e.alias("end"), x.alias("found")))
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    return F.when(text.rlike(pattern), _let(both, placed)).otherwise(none)
 
 
 def _lower_tail(z: Column) -> Column:
@@ -205,9 +220,12 @@ def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets")
 def redact(found: DataFrame, text_col: str = "text", by: str = "[SECRET]", secrets_col: str = "secrets") -> DataFrame:
     """``text`` with every span of ``secrets_col`` replaced (spans that overlap: once), and without that column."""
     text, own = F.col(text_col), F.col(secrets_col)
-    reach = before(F.transform(own, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
-    kept = F.zip_with(own, F.slice(reach, F.lit(1), F.size(own)), lambda s, at: F.when(s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.lit(by))).otherwise(""))
-    new = F.concat(F.array_join(kept, ""), F.substring(text, F.element_at(reach, -1) + 1, F.length(text)))
+
+    def masked(reach):
+        kept = F.zip_with(own, F.slice(reach, F.lit(1), F.size(own)), lambda s, at: F.when(s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.lit(by))).otherwise(""))
+        return F.concat(F.array_join(kept, ""), F.substring(text, F.element_at(reach, -1) + 1, F.length(text)))
+
+    new = _let(before(F.transform(own, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), masked)
     return found.withColumn(text_col, F.when(F.size(own) > 0, new).otherwise(text)).drop(secrets_col)
 
 
