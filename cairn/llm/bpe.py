@@ -27,7 +27,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Pieces whose tokens a worker remembers: the first it meets, which the common ones are among.
 REMEMBERED = 1 << 17
 #: Bytes of text cut into pieces at once; a piece is looked up once in them.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 2 << 20
 #: Pairs whose compatibility a worker remembers.
 PAIRS = 1 << 17
 
