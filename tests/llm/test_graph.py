@@ -4,7 +4,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from cairn.llm import common
+from cairn.llm import common, graph
 from cairn.llm.graph import components
 
 
@@ -26,8 +26,10 @@ def plain(edges):
     return {i: root(i) for i in label}
 
 
+@pytest.mark.parametrize("small", [0, 10**6])
 @pytest.mark.parametrize("kind", ["random", "star", "chain", "mixed"])
-def test_components_against_union_find(spark, kind):
+def test_components_against_union_find(spark, monkeypatch, kind, small):
+    monkeypatch.setattr(graph, "SMALL", small)
     rng = random.Random(7)
     edges = {
         "random": [(rng.randrange(400), rng.randrange(400)) for _ in range(250)],
