@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import cells
 from cairn.operators import index, lookup, near
+from cairn.streaming.lookup import geocode_stream
 
 LEVEL = 17
 
@@ -118,17 +119,36 @@ def test_nearest_street_broadcasts_nothing(spark, tmp_path):
     assert best.filter("dist < 1e-13").count() == 3000
 
 
-def test_reverse_geocode_broadcasts_no_points(spark, tmp_path):
+def all_tables(spark, tmp_path):
     points, addr, street_cells, street_ways = saved(spark, tmp_path)
     square = [(43.0, 7.0), (43.0, 8.0), (44.0, 8.0), (44.0, 7.0)]
     area = spark.createDataFrame([(k, f"A{k}", 2 * k, "FR", [{"lat": a, "lon": b} for a, b in square], 1.0) for k in (1, 2)], "poly_id long, name string, admin_level int, country_code string, vertices array<struct<lat:float,lon:float>>, area float")
-    tables = {"addr_cells": addr, "street_cells": street_cells, "street_ways": street_ways, "admin_polygons": area, "admin_cells": index.polygon_cells(area)}
-    out = lookup.reverse_geocode(points, tables)
-    # Below each broadcast there is nothing of the points.
-    lines = plan(out).split("\n")
+    return points, {"addr_cells": addr, "street_cells": street_cells, "street_ways": street_ways, "admin_polygons": area, "admin_cells": index.polygon_cells(area)}
+
+
+def broadcasts_points(text):
+    """Whether there is anything of the points below a broadcast."""
+    lines = text.split("\n")
     depth = [len(x) - len(x.lstrip(" :+-*")) for x in lines]
     for k, line in enumerate(lines):
         if "BroadcastExchange" in line:
             end = next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines))
-            assert "qid" not in "".join(lines[k:end])
+            if "qid" in "".join(lines[k:end]):
+                return True
+    return False
+
+
+def test_reverse_geocode_broadcasts_no_points(spark, tmp_path):
+    points, tables = all_tables(spark, tmp_path)
+    out = lookup.reverse_geocode(points, tables)
+    assert not broadcasts_points(plan(out))
     assert {tuple(r) for r in out.select("road", "house_number", "country", "state").distinct().collect()} == {("R", "1", "A1", "A2")}
+
+
+def test_stream_broadcasts_no_points(spark, tmp_path):
+    points, tables = all_tables(spark, tmp_path)
+    seen = []
+    stream = spark.readStream.schema(points.schema).parquet(f"{tmp_path}/points")
+    geocode_stream(stream, tables, lambda df, n: seen.append((plan(df), df.filter("road = 'R' AND country = 'A1'").count())), f"{tmp_path}/state").awaitTermination()
+    assert sum(n for _, n in seen) == 3000
+    assert not any(broadcasts_points(text) for text, _ in seen)
