@@ -120,11 +120,14 @@ def member_diagnostics(relations: DataFrame, geometries: DataFrame) -> DataFrame
 
 
 def with_numbers(interp: DataFrame, addresses: DataFrame) -> DataFrame:
-    """``interp`` with start_number and end_number: those of the addresses where the way begins and ends."""
+    """``interp`` with start_number and end_number: those of the addresses where the way begins and ends.
+
+    Planners take all addresses, grouped, for smaller than their file and would broadcast them, once for each end: they are merged.
+    """
     from cairn.functions.geom import grid_key, house_number
 
     y, x = grid_key(F.col("lat"), F.col("lon"))
-    known = addresses.select(y.alias("_y"), x.alias("_x"), "addr_id", "housenumber").groupBy("_y", "_x").agg(house_number(F.max_by("housenumber", "addr_id")).alias("_h"))
+    known = addresses.select(y.alias("_y"), x.alias("_x"), "addr_id", "housenumber").groupBy("_y", "_x").agg(house_number(F.max_by("housenumber", "addr_id")).alias("_h")).hint("merge")
     for name, at in (("start_number", 1), ("end_number", -1)):
         p = F.element_at("nodes", at)
         y, x = grid_key(p["lat"], p["lon"])

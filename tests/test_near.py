@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import cells
-from cairn.operators import index, lookup, near
+from cairn.operators import index, lookup, near, osm
 from cairn.streaming.lookup import geocode_stream
 
 LEVEL = 17
@@ -119,6 +119,15 @@ def test_nearest_street_broadcasts_nothing(spark, tmp_path):
     assert best.filter("dist < 1e-13").count() == 3000
 
 
+def test_house_numbers_broadcast_no_addresses(spark, tmp_path):
+    _, addr, _, street_ways = saved(spark, tmp_path)
+    # An end of each way lies on address 7's place, the other one nowhere.
+    ways = street_ways.filter("way_id = 7").withColumn("nodes", F.expr("transform(nodes, (n, i) -> IF(i = 0, named_struct('lat', CAST(n.lat + 1e-5 AS float), 'lon', n.lon), n))"))
+    found = osm.with_numbers(ways, addr).filter("start_number > 0")
+    assert "Broadcast" not in plan(found)
+    assert [tuple(r) for r in found.select("way_id", "start_number", "end_number").collect()] == [(7, 1, 0)]
+
+
 def all_tables(spark, tmp_path):
     points, addr, street_cells, street_ways = saved(spark, tmp_path)
     square = [(43.0, 7.0), (43.0, 8.0), (44.0, 8.0), (44.0, 7.0)]
