@@ -75,7 +75,7 @@ class Lanes:
 
 @dataclass
 class Trail:
-    """A window that has been run: positions, each step's range, where texts begin, gates, states."""
+    """A window that has been run: positions, each step's range, where texts begin, states, gates (a step's three after another)."""
 
     pos: np.ndarray
     edges: list[tuple[int, int]]
@@ -122,36 +122,43 @@ class Gru:
             at += n
         return Gru(shape, p)
 
+    def _split(self, name: str) -> np.ndarray:
+        """A copy of ``x`` or ``u`` with each gate's columns apart: what steps work on lies together."""
+        return self.p[name].reshape(-1, 3, self.shape.hidden).transpose(1, 0, 2).copy()
+
     def _run(self, window, given, fresh, h, keep) -> Trail:
         """The window's states, step after step in one array, and for backpropagation what made them."""
-        x, u, k = self.p["x"], self.p["u"], self.shape.hidden
+        x, u, k = self._split("x"), self._split("u"), self.shape.hidden
+        x[:2] *= 0.5  # a gate is (1 + tanh(e / 2)) / 2
+        u[:2] *= 0.5
         pos = np.concatenate(window)
         ends = np.cumsum([len(p) for p in window])
         edges = list(zip((ends - [len(p) for p in window]).tolist(), ends.tolist(), strict=True))
         stay, of = (1 - fresh[pos])[:, None], given[pos]
         t = Trail(pos, edges, stay, np.minimum.reduceat(stay[:, 0], [a for a, _ in edges]) == 0, np.empty((len(pos), k), u.dtype))
+        size = 3 * k
         if keep:
-            t.gates, t.before, t.inner = np.empty((len(pos), 3 * k), u.dtype), np.empty_like(t.states), np.empty_like(t.states)
-        scratch = np.empty((len(window[0]), 3 * k), u.dtype)  # steps only get narrower
+            t.before, t.inner = np.empty_like(t.states), np.empty_like(t.states)
+            t.gates = np.empty(size * len(pos), u.dtype)
+        scratch, own_scratch = (np.empty(size * len(window[0]), u.dtype) for _ in range(2))  # steps only get narrower
         for (a, b), starts in zip(edges, t.starts, strict=True):
             h = h[: b - a] * stay[a:b] if starts else h[: b - a]
-            own = h @ u
-            whole = t.gates[a:b] if keep else scratch[: b - a]
-            np.take(x, of[a:b], axis=0, out=whole, mode="clip")
-            gate, new, out = whole[:, : 2 * k], whole[:, 2 * k :], t.states[a:b]
-            gate += own[:, : 2 * k]
-            gate *= 0.5
+            own = np.matmul(h, u, out=own_scratch[: size * (b - a)].reshape(3, b - a, k))
+            whole = (t.gates[size * a : size * b] if keep else scratch[: size * (b - a)]).reshape(3, b - a, k)
+            x.take(of[a:b], 1, whole, "clip")
+            gate, new, out = whole[:2], whole[2], t.states[a:b]
+            gate += own[:2]
             np.tanh(gate, out=gate)
             gate *= 0.5
             gate += 0.5
-            inner = own[:, 2 * k :]
+            inner = own[2]
             if keep:
                 t.before[a:b], t.inner[a:b] = h, inner
-            inner *= gate[:, :k]
+            inner *= gate[0]
             new += inner
             np.tanh(new, out=new)
             np.subtract(h, new, out=out)
-            out *= gate[:, k:]
+            out *= gate[1]
             out += new
             h = out
         return t
@@ -227,33 +234,40 @@ class Gru:
         return len(want)
 
     def _back(self, t: Trail, given, dhs, grads):
-        k = self.shape.hidden
-        dx, dnew, down = np.empty_like(t.gates), np.empty_like(t.states), np.ascontiguousarray(self.p["u"].T)
+        k, n_all = self.shape.hidden, len(t.pos)
+        dx, dnew, down = np.empty((3, n_all, k), t.states.dtype), np.empty_like(t.states), self._split("u").transpose(0, 2, 1).copy()
         carried = dhs[:0]
         for (a, b), starts in zip(reversed(t.edges), t.starts[::-1], strict=True):  # what a step needs stays in the cache
-            r, z, n = t.gates[a:b, :k], t.gates[a:b, k : 2 * k], t.gates[a:b, 2 * k :]
-            dh, d, dn = dhs[a:b], dx[a:b], dnew[a:b]
+            r, z, n = t.gates[3 * k * a : 3 * k * b].reshape(3, b - a, k)
+            dh, d, dn = dhs[a:b], dx[:, a:b], dnew[a:b]
             dh[: len(carried)] += carried
             kept = dh * z
             np.subtract(dh, kept, out=dn)
-            dn *= 1 - n * n
-            np.multiply(dn, r, out=d[:, 2 * k :])
-            to_r = t.inner[a:b] * d[:, 2 * k :]
-            np.multiply(to_r, 1 - r, out=d[:, :k])
-            to_z = t.before[a:b] - n
-            to_z *= kept
-            np.multiply(to_z, 1 - z, out=d[:, k : 2 * k])
-            carried = d @ down
+            to_n = n * n
+            np.subtract(1, to_n, out=to_n)
+            dn *= to_n
+            np.multiply(dn, r, out=d[2])
+            np.subtract(1, r, out=to_n)
+            to_n *= t.inner[a:b]
+            np.multiply(to_n, d[2], out=d[0])
+            np.subtract(t.before[a:b], n, out=to_n)
+            to_n *= kept
+            np.subtract(1, z, out=d[1])
+            d[1] *= to_n
+            back = np.matmul(d, down)
+            carried = back[0]
+            carried += back[1]
+            carried += back[2]
             carried += kept
             if starts:
                 carried *= t.stay[a:b]
-        grads["u"] = t.before.T @ dx
-        dx[:, 2 * k :] = dnew
+        grads["u"] = np.concatenate(np.matmul(t.before.T, dx), axis=1)
         of = given[t.pos].astype(np.int16 if len(self.p["x"]) < 1 << 15 else np.int32)
         order = np.argsort(of, kind="stable")
         of = of[order]
         rows = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-        grads["x"] = (of[rows], np.add.reduceat(dx[order], rows, axis=0))
+        sums = [np.add.reduceat(g.take(order, 0), rows, axis=0) for g in (dx[0], dx[1], dnew)]
+        grads["x"] = (of[rows], np.concatenate(sums, axis=1))
 
     def _step(self, grads, n: int, rate: float):
         """Adam, upwards; rows of ``x`` that were not given are left alone. Windows of few tokens move less."""
